@@ -6,18 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veracol.llm import quality_rules
+import public_tokenizers
+
+from veracol.llm import byte_bpe, mph_dedup, quality_rules
 from veracol.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op7_mph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mph_dedup.grouped(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
+    "op7_mph_dedup": op7_mph_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
