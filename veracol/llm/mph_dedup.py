@@ -130,10 +130,10 @@ def merged(history: DataFrame, batch: DataFrame, shards: int) -> DataFrame:
     shard = F.pmod(F.conv(F.substring("digest", 1, 12), 16, 10).cast("long"), F.lit(shards))
 
     def look_up(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        old, new = old.reset_index(drop=True), new.reset_index(drop=True)
+        old, new = (x.reset_index(drop=True).reindex(columns=["digest", "winner", "n"]) for x in (old, new))
         row = Index(old).find(new.digest) if len(old) and len(new) else np.full(len(new), -1)
         known = row >= 0
-        n = old.n.to_numpy(np.int64).copy()
+        n = old.n.to_numpy(np.int64, copy=True)
         n[row[known]] += new.n.to_numpy(np.int64)[known]
         winner = old.winner.astype("Int64").copy()
         theirs = new.winner.astype("Int64")[known]
@@ -146,7 +146,8 @@ def merged(history: DataFrame, batch: DataFrame, shards: int) -> DataFrame:
             pd.DataFrame({"digest": fresh.digest, "winner": fresh.winner.astype("Int64"), "n": fresh.n, "repeat": False}),
         ])
 
-    sides = [x.select("digest", "winner", "n", shard.alias("shard")).groupBy("shard") for x in (history, batch)]
+    # Aliases, since the two sides may be cuts of one table, whose columns a cogroup would confuse.
+    sides = [x.select(F.col("digest").alias("digest"), "winner", "n", shard.alias("shard")).groupBy("shard") for x in (history, batch)]
     return sides[0].cogroup(sides[1]).applyInPandas(look_up, "digest string, winner long, n long, repeat boolean")
 
 
