@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from veracol.llm import byte_bpe, mph_dedup, quality_rules
+from veracol.llm import byte_bpe, mph_dedup, quality_rules, source_mixing
 from veracol.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,13 +26,20 @@ def op7_mph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mph_dedup.grouped(table(spark, sf_dir, "documents"))
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_mph_dedup": op7_mph_dedup,
+    "op10_source_mixing": op10_source_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_source_mixing": source_mixing.ORACLE,
+}
 
 
 def queries() -> dict[str, Query]:
