@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from veracol.llm import byte_bpe, mph_dedup, quality_rules, source_mixing
+from veracol.llm import byte_bpe, mph_dedup, quality_rules, simhash_gray, source_mixing
 from veracol.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op7_mph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mph_dedup.grouped(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_gray.grouped(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Query] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_mph_dedup": op7_mph_dedup,
+    "op9_simhash_gray": op9_simhash_gray,
     "op10_source_mixing": op10_source_mixing,
 }
 
