@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from veracol.llm import byte_bpe, mph_dedup, quality_rules, simhash_gray, source_mixing
+from veracol.llm import byte_bpe, chat_format, line_blocks, mph_dedup, quality_rules, simhash_gray, source_mixing
 from veracol.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_blocks.extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -26,6 +30,14 @@ def op7_mph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mph_dedup.grouped(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return chat_format.read_back(chat_format.formatted(turns, *vocabulary), *vocabulary)
+
+
 def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_gray.grouped(table(spark, sf_dir, "documents"))
 
@@ -35,9 +47,11 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op4_line_blocks": op4_line_blocks,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
     "op7_mph_dedup": op7_mph_dedup,
+    "op8_chat_format": op8_chat_format,
     "op9_simhash_gray": op9_simhash_gray,
     "op10_source_mixing": op10_source_mixing,
 }
