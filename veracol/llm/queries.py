@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from veracol.llm import byte_bpe, chat_format, line_blocks, mph_dedup, quality_rules, simhash_gray, source_mixing
+from veracol.llm import byte_bpe, chat_format, line_blocks, mph_dedup, quality_rules, simhash_gray, source_mixing, token_rollups
 from veracol.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollups.maintained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_blocks.extracted(table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op3_token_rollups": op3_token_rollups,
     "op4_line_blocks": op4_line_blocks,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_quality_rules": op6_quality_rules,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_token_rollups": token_rollups.ORACLE,
     "op10_source_mixing": source_mixing.ORACLE,
 }
 
