@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from veracol.llm import byte_bpe, chat_format, line_blocks, mph_dedup, quality_rules, simhash_gray, source_mixing, token_rollups
+from veracol.llm import byte_bpe, chat_format, line_blocks, mph_dedup, quality_rules, simhash_gray, source_mixing, token_rollups, toxicity
 from veracol.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollups.maintained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op3_token_rollups": op3_token_rollups,
     "op4_line_blocks": op4_line_blocks,
     "op5_byte_bpe": op5_byte_bpe,
