@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from veracol.llm import byte_bpe, chat_format, line_blocks, mph_dedup, quality_rules, simhash_gray, source_mixing, token_rollups, toxicity
+from veracol.llm import byte_bpe, chat_format, line_blocks, mph_dedup, pii_crf, quality_rules, simhash_gray, source_mixing, token_rollups, toxicity
 from veracol.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.counted(table(spark, sf_dir, "documents"))
+
+
 def op3_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollups.maintained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_pii_crf": op2_pii_crf,
     "op3_token_rollups": op3_token_rollups,
     "op4_line_blocks": op4_line_blocks,
     "op5_byte_bpe": op5_byte_bpe,
