@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Distinct pre-tokens that a worker remembers before it starts afresh (bounds its memory).
 CACHE_ENTRIES = 300_000
@@ -197,7 +198,7 @@ def decoded_batches(batches: Iterator[pa.RecordBatch], rank_path: str, pattern:
 def encoded(docs: DataFrame, rank_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` and each whole text's `ids`."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text"))
-    schema = rows.drop("text").schema.add("ids", "array<int>")
+    schema = rows.drop("text").schema.add("ids", ArrayType(IntegerType()))
     out = rows.mapInArrow(lambda b: (x.drop_columns(["text"]) for x in encoded_batches(b, rank_path, pattern)), schema)
     return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "ids")
 

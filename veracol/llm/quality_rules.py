@@ -143,5 +143,8 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ..
 def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the input's columns."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
-    out = judged(whole, rules, keep=("_row",)).where("kept")
+    # The optimiser would move the filter below the measures and repeat them inside one another; it moves
+    # none below a column that differs from run to run, such as a row's running number.
+    out = judged(whole, rules, keep=("_row",)).select("_row", "kept", F.monotonically_increasing_id().alias("_n"))
+    out = out.where("kept AND _n >= 0")
     return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
