@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from veracol.plans import text_queries
+from veracol.plans.common import Query
 
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+_CATALOGS = (text_queries.catalog,)
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return {k: q for c in _CATALOGS for k, q in c.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return {k: s for c in _CATALOGS for k, s in c.oracle.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["doc_risks"](spark, sf_dir)
+    """Risks of every document."""
+    return text_queries.doc_risks(spark, sf_dir)
