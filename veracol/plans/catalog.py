@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veracol.plans import text_queries
+from veracol.plans import retrieval_queries, text_queries
 from veracol.plans.common import Query
 
-_CATALOGS = (text_queries.catalog,)
+_CATALOGS = (text_queries.catalog, retrieval_queries.catalog)
 
 
 def queries() -> dict[str, Query]:
