@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracol.llm.common import GAP, scratch_root, text_or_empty
+from veracol.llm.common import GAP, scratch_root, text_or_empty, written
 
 GROUP = ("source", "lang", "tokenizer_version")
 SUMS = ("n_docs", "n_tokens")
@@ -45,18 +45,22 @@ COUNTERS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def counted(docs: DataFrame, versions: tuple[str, ...] = tuple(COUNTERS), sign: int = 1) -> DataFrame:
-    """Signed deltas of documents: one row per group, summed before the shuffle."""
-    base = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
+def counted(docs: DataFrame, versions: tuple[str, ...] = tuple(COUNTERS)) -> DataFrame:
+    """doc_id, source, lang, tokenizer_version, n of every document: what later joins need, without its text."""
+    base = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
     each = F.array(*[F.struct(F.lit(v).alias("tokenizer_version"), COUNTERS[v](F.col("text")).alias("n")) for v in versions])
-    rows = base.select("source", "lang", F.explode(each).alias("c")).select("source", "lang", "c.tokenizer_version", "c.n")
-    sums = rows.groupBy(*GROUP).agg((F.count(F.lit(1)) * sign).alias("n_docs"), (F.sum("n") * sign).alias("n_tokens"))
+    return base.select("doc_id", "source", "lang", F.explode(each).alias("c")).select("doc_id", "source", "lang", "c.tokenizer_version", "c.n")
+
+
+def deltas(counts: DataFrame, sign: int = 1) -> DataFrame:
+    """Counted documents as signed deltas: one row per group, summed before the shuffle."""
+    sums = counts.groupBy(*GROUP).agg((F.count(F.lit(1)) * sign).alias("n_docs"), (F.sum("n") * sign).alias("n_tokens"))
     return sums.select(*GROUP, *SUMS)
 
 
-def revised(before: DataFrame, after: DataFrame, versions: tuple[str, ...] = tuple(COUNTERS)) -> DataFrame:
+def revised(before: DataFrame, after: DataFrame) -> DataFrame:
     """Deltas that take back the counts of `before` and put those of `after`."""
-    both = counted(before, versions, -1).unionByName(counted(after, versions, 1))
+    both = deltas(before, -1).unionByName(deltas(after, 1))
     return both.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
@@ -113,12 +117,17 @@ def maintained(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Totals after four batches: inserts, documents labelled as of low quality deleted, texts revised to
     have no license lines, and the first batch delivered again."""
     ledger = Ledger.new(docs.sparkSession)
+    counts = written(counted(docs), "token_counts")
     low = labels.where("quality = 0").select(F.col("doc_id").alias("_low")).distinct()
-    ledger.commit("inserts", counted(docs))
-    ledger.commit("deletes", counted(docs.join(low, F.col("doc_id") == F.col("_low"), "left_semi"), sign=-1))
-    stay = docs.join(low, F.col("doc_id") == F.col("_low"), "left_anti").where(F.col("text").contains("Licensed under "))
-    ledger.commit("revisions", revised(stay, stay.withColumn("text", F.regexp_replace("text", LICENSE_LINE, ""))))
-    ledger.commit("inserts", counted(docs))
+    is_low = F.col("doc_id") == F.col("_low")
+    ledger.commit("inserts", deltas(counts))
+    ledger.commit("deletes", deltas(counts.join(low, is_low, "left_semi"), -1))
+    licensed = docs.where(F.col("text").contains("Licensed under "))
+    stripped = licensed.withColumn("text", F.regexp_replace("text", LICENSE_LINE, ""))
+    # Counts are written first: the optimiser would join before it counts, and so shuffle the texts.
+    before, after = (written(counted(x), "revised_counts").join(low, is_low, "left_anti") for x in (licensed, stripped))
+    ledger.commit("revisions", revised(before, after))
+    ledger.commit("inserts", deltas(counts))
     return ledger.totals()
 
 
