@@ -55,3 +55,12 @@ class Rows:
 
 def sql_list(words: Sequence[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder that the session names; temporary where it names none."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veracol-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
