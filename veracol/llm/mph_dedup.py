@@ -189,3 +189,10 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """
     stay = grouped(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS digest FROM documents),
+g AS (SELECT digest, min(doc_id) AS keep_id, count(*) AS n FROM d GROUP BY digest)
+SELECT doc_id, keep_id, n AS group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, digest AS text_sha256 FROM d JOIN g USING (digest)
+"""

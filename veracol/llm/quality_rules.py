@@ -148,3 +148,24 @@ def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     out = judged(whole, rules, keep=("_row",)).select("_row", "kept", F.monotonically_increasing_id().alias("_n"))
     out = out.where("kept AND _n >= 0")
     return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
+def oracle(rules: tuple[Rule, ...] = RULES) -> str:
+    """SQL of the judged table, counting windows by a join on their words."""
+    ratio = {k: v.replace("CAST(n_words AS DOUBLE)", "n_words").replace("1L", "1").replace(" / ", "::DOUBLE / ") for k, v in METRICS.items()}
+    fails = []
+    for r in rules:
+        bounds = [f"{ratio[r.metric]} < {r.low}" if r.low is not None else "", f"{ratio[r.metric]} > {r.high}" if r.high is not None else ""]
+        fails.append(f"CASE WHEN {' OR '.join(b for b in bounds if b)} THEN '{r.name}' END")
+    stops = "[" + ", ".join(f"'{w}'" for w in _STOP_FORMS) + "]"
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM t),
+p AS (SELECT doc_id, unnest(w) AS a, unnest(range(len(w))) AS i FROM w),
+win AS (SELECT doc_id, i, a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o AS x FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS c FROM win WHERE x IS NOT NULL) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep CROSS JOIN (VALUES (0), (1), (2)) v(k) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: list_contains({stops}, x))) AS n_stop_words FROM w LEFT JOIN cov USING (doc_id)),
+f AS (SELECT *, array_to_string(list_filter([{', '.join(fails)}], lambda x: x IS NOT NULL), '|') AS failed_rules, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND failed_rules = '' AS kept FROM f"""

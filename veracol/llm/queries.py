@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veracol.llm import byte_bpe, chat_format, line_blocks, mph_dedup, pii_crf, quality_rules, simhash_gray, source_mixing, token_rollups, toxicity
 from veracol.llm.common import table
@@ -35,7 +35,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(table(spark, sf_dir, "documents"))
+    rows = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return rows.withColumn("failed_rules", F.array_join("failed_rules", "|"))
 
 
 def op7_mph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,8 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_token_rollups": token_rollups.ORACLE,
+    "op6_quality_rules": quality_rules.oracle(),
+    "op7_mph_dedup": mph_dedup.ORACLE,
     "op10_source_mixing": source_mixing.ORACLE,
 }
 
