@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 #: Distinct pre-tokens that a worker remembers before it starts afresh (bounds its memory).
 CACHE_ENTRIES = 300_000
@@ -207,7 +207,7 @@ def decoded(ids: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """The decoded bytes of each row's `ids`, beside its other columns."""
     others = [c for c in ids.columns if c != "ids"]
     rows = ids.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    schema = rows.schema.add("decoded", "binary")
+    schema = StructType([*rows.schema.fields, StructField("decoded", BinaryType())])
     out = rows.mapInArrow(lambda b: decoded_batches(b, rank_path, pattern), schema)
     return out.select(*[F.col("row").getField(c).alias(c) for c in others], "ids", "decoded")
 

@@ -78,9 +78,10 @@ def bit_keys(distinct: int, max_bits: int = MAX_BITS) -> list[int]:
     """Masks such that two codes at most max_bits apart agree on one of them at least.
 
     The codes are cut into blocks; all but max_bits of the blocks agree. More blocks make longer keys, so
-    that a bucket stays small as the number of codes grows.
+    that a bucket stays small as the number of codes grows. One agreeing block is long enough only for a
+    small max_bits; beyond, keys start from two, so that a code has as many keys at every usual size.
     """
-    for extra in (1, 2, 3):
+    for extra in (1, 2, 3) if max_bits <= 3 else (2, 3):
         n = max_bits + extra
         edges = [64 * i // n for i in range(n + 1)]
         blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
