@@ -255,8 +255,12 @@ def fit_texts(texts: list[str]) -> Field:
 def fit(docs: DataFrame, texts: int = TRAIN_TEXTS) -> Field:
     """Weights from a bounded sample of the texts with evidence, drawn by a hash of the text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000))
-    return fit_texts([r.text for r in rows.orderBy(F.xxhash64("text"), "text").limit(texts).collect()])
+    rows = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000)).withColumn("_h", F.xxhash64("text"))
+    # Hashes are drawn first, texts fetched after, so that tasks send the driver no more than the sample.
+    drawn = [r._h for r in rows.select("_h").distinct().orderBy("_h").limit(texts).collect()]
+    if not drawn:
+        return fit_texts([])
+    return fit_texts([r.text for r in rows.where(F.col("_h") <= drawn[-1]).dropDuplicates(["_h"]).orderBy("_h").collect()])
 
 
 def found(docs: DataFrame, field: Field) -> DataFrame:
