@@ -5,13 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veracol.llm import byte_bpe, mph_dedup, quality_rules, simhash_gray, source_mixing
+from veracol.llm import byte_bpe, mph_dedup, near_copies, quality_rules, source_mixing
 from veracol.llm.common import written
 
-#: Differing bits at which the stage links 3-word fingerprints: near copies of a 5-word Jaccard similarity of
-#: 0.8 or more mostly differ in 2 to 8 bits (README).
-NEAR_BITS = 8
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the threshold table."""
@@ -24,8 +20,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash_gray.kept_documents(docs, max_bits=NEAR_BITS)
+    """One document of each near-duplicate group: links are confirmed by 5-word Jaccard similarity >= 0.8."""
+    return near_copies.kept_documents(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
