@@ -185,10 +185,14 @@ def grouped(docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each text, the smallest doc_id's, with the input's columns.
 
-    Rows that repeat the winner's doc_id are reduced to one.
+    Rows are told apart by text, so that texts of one doc_id, or of none, all stay; rows of one text that
+    repeat the winner's doc_id are reduced to one.
     """
-    stay = grouped(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    stay = grouped(docs).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_keep_digest")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), digest(text_or_empty()).alias("_digest"))
+    same = (F.col("_digest") == F.col("_keep_digest")) & F.col("_id").eqNullSafe(F.col("_keep"))
+    rows = rows.join(stay, same, "left_semi").dropDuplicates(["_digest"])
+    return rows.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
