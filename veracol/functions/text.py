@@ -15,7 +15,7 @@ PROTECTED = (
     ("LATEX", r"\$\$[\s\S]+?\$\$|\$[^$\n]+?\$"),
     ("REF", r"\[\s*\d+[\s,;\-–—\d]*\s*\]"),
 )
-#: Longest citation range that is expanded; longer ones count as their two ends.
+#: Longest citation range that citation keys (and the SQL counterparts) expand; longer ones count as their two ends.
 LONGEST_RANGE = 1000
 
 

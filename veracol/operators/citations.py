@@ -10,23 +10,24 @@ from veracol.functions.text import LONGEST_RANGE, header_place
 
 LETTER = "[a-zA-Zа-яА-ЯёЁ]"
 _RANGE = r"^(\\d{1,18})\\s*[-–—]\\s*(\\d{1,18})$"
-#: A part of a bracket as numbers: a range's members (its ends alone, where it is too long), or the given else.
-_EXPANDED = (
+#: A part of a bracket as intervals: a range's ends, or the given else.
+_INTERVALS = (
     "CASE WHEN p RLIKE '{r}' THEN transform(array(named_struct('a', CAST(regexp_extract(p, '{r}', 1) AS BIGINT), 'b', CAST(regexp_extract(p, '{r}', 2) AS BIGINT))), x -> "
-    "CASE WHEN x.a > x.b THEN array() WHEN x.b - x.a > {most} THEN array(x.a, x.b) ELSE sequence(x.a, x.b) END)[0] ELSE {other} END"
+    "CASE WHEN x.a > x.b THEN array() ELSE array(x) END)[0] ELSE {other} END"
 )
 
 
-def _expanded(other: str) -> str:
-    return _EXPANDED.format(r=_RANGE, most=LONGEST_RANGE, other=other)
+def _intervals(other: str) -> str:
+    return _INTERVALS.format(r=_RANGE, other=other)
 
 
 def keys(sentence: str) -> Column:
     """Citation keys of a column's brackets, in order, with repeats."""
     named = f"filter(transform(split(k, ';'), p -> lower(regexp_replace(p, '[^a-zA-Zа-яА-ЯёЁ0-9]', ''))), p -> p <> '')"
     digits = "CASE WHEN regexp_replace(p, '\\\\D', '') = '' THEN array() ELSE array(regexp_replace(p, '\\\\D', '')) END"
+    ends = f"CASE WHEN x.b - x.a > {LONGEST_RANGE} THEN array(x.a, x.b) ELSE sequence(x.a, x.b) END"
     part = (
-        f"CASE WHEN p RLIKE '{_RANGE}' THEN transform({_expanded('array()')}, n -> CAST(n AS STRING)) ELSE {digits} END"
+        f"CASE WHEN p RLIKE '{_RANGE}' THEN flatten(transform({_intervals('array()')}, x -> transform({ends}, n -> CAST(n AS STRING)))) ELSE {digits} END"
     )
     numbered = f"flatten(transform(transform(split(k, '[,;]'), p -> trim(p)), p -> {part}))"
     return F.expr(
@@ -42,13 +43,22 @@ def _cut(docs: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, body.alias("_body"), F.expr("CASE WHEN _at >= 0 THEN substring(_t, _at + 1) END").alias("_tail"))
 
 
+def cited_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, low, high: the intervals of numbers cited before the bibliography."""
+    brackets = F.expr("regexp_extract_all(_body, '\\\\[\\\\s*(\\\\d+[\\\\s,;\\\\-–—\\\\d]*)\\\\s*\\\\]', 1)")
+    single = "CASE WHEN p RLIKE '^\\\\d{1,18}$' THEN array(named_struct('a', CAST(p AS BIGINT), 'b', CAST(p AS BIGINT))) ELSE array() END"
+    ranges = F.expr(f"flatten(transform(_b, b -> flatten(transform(transform(split(b, '[,;]'), p -> trim(p)), p -> {_intervals(single)}))))")
+    rows = _cut(docs, key, text).select(key, brackets.alias("_b")).select(key, F.explode(ranges).alias("_r"))
+    return rows.select(key, F.col("_r.a").alias("low"), F.col("_r.b").alias("high")).distinct()
+
+
+def _members(ranges: DataFrame, key: str) -> DataFrame:
+    return ranges.select(key, F.explode(F.sequence("low", "high")).alias("number")).distinct()
+
+
 def cited_numbers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, number: the numbers cited before the bibliography."""
-    brackets = F.expr("regexp_extract_all(_body, '\\\\[\\\\s*(\\\\d+[\\\\s,;\\\\-–—\\\\d]*)\\\\s*\\\\]', 1)")
-    single = "CASE WHEN p RLIKE '^\\\\d{1,18}$' THEN array(CAST(p AS BIGINT)) ELSE array() END"
-    numbers = F.expr(f"flatten(transform(_b, b -> flatten(transform(transform(split(b, '[,;]'), p -> trim(p)), p -> {_expanded(single)}))))")
-    rows = _cut(docs, key, text).select(key, brackets.alias("_b")).select(key, F.explode(numbers).alias("number"))
-    return rows.distinct()
+    return _members(cited_ranges(docs, key, text), key)
 
 
 def listed_numbers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,10 +90,12 @@ def bibliography(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def integrity(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Warnings of documents that have a bibliography: numbers cited but not listed, and listed but not cited."""
-    cited, listed = cited_numbers(docs, key, text), listed_numbers(docs, key, text)
+    ranges, listed = cited_ranges(docs, key, text), listed_numbers(docs, key, text)
     with_list = listed.select(key).distinct()
-    missing = cited.join(with_list, key, "left_semi").join(listed, [key, "number"], "left_anti").select(key, "number", F.lit("citation_missing_bibliography").alias("issue_type"), F.lit("high").alias("severity"))
-    unused = listed.join(cited, [key, "number"], "left_anti").select(key, "number", F.lit("citation_unused_bibliography").alias("issue_type"), F.lit("low").alias("severity"))
+    missing = _members(ranges.join(with_list, key, "left_semi"), key).join(listed, [key, "number"], "left_anti").select(key, "number", F.lit("citation_missing_bibliography").alias("issue_type"), F.lit("high").alias("severity"))
+    spans = ranges.select(F.col(key).alias("_key"), "low", "high")
+    inside = (F.col(key) == F.col("_key")) & F.col("number").between(F.col("low"), F.col("high"))
+    unused = listed.join(spans, inside, "left_anti").select(key, "number", F.lit("citation_unused_bibliography").alias("issue_type"), F.lit("low").alias("severity"))
     order = Window.partitionBy(key).orderBy("issue_type", "number")
     return missing.unionByName(unused).withColumn("index", (-F.row_number().over(order)).cast("int"))
 
