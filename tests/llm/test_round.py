@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ import pytest
 pytest.importorskip("xxhash")
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from veracol.llm import mph_dedup, near_copies  # noqa: E402
+from veracol.llm import mph_dedup, near_copies, quality_rules  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -63,3 +64,18 @@ def test_rows_without_id_keep_their_texts(spark):
     assert sorted((str(r.doc_id), r.text[0], len(r.text.split())) for r in exact.collect()) == [("7", "a", 60), ("7", "c", 60), ("8", "c", 61), ("None", "b", 60)]
     near = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted((str(r.doc_id), r.text[0]) for r in near.collect()) == [("7", "a"), ("7", "c"), ("None", "b")]
+
+
+def test_windows_that_share_a_hash(spark, monkeypatch):
+    rnd = random.Random(2)
+    texts = [" ".join(f"w{rnd.randrange(most)}" for _ in range(n)) for most, n in ((3, 40), (9, 200), (30, 400), (2, 5), (900, 600))]
+    want = []
+    for t in texts:
+        w = t.split()
+        seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        want.append(len({i + k for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for k in range(3)}))
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+    for bits in (quality_rules._BITS, "60"):
+        monkeypatch.setattr(quality_rules, "_BITS", bits)
+        got = quality_rules.measured(docs).orderBy("doc_id").collect()
+        assert [r.n_repeat_words for r in got] == want

@@ -70,8 +70,9 @@ def _first(text: Column) -> dict[str, Column]:
 
 #: Words that lie in a 3-word window found twice or more. Each window becomes one long, its hash above its
 #: position, so that sorting (of primitives) puts equal windows side by side in the order of the text; the
-#: words themselves confirm a match of hashes; each repeated start adds the words the one before doesn't cover.
-_BITS = "CASE WHEN size(_words) <= 32768 THEN 15 ELSE 31 END"
+#: words themselves confirm a match of hashes; where different windows share a hash, the document's windows are
+#: sorted by their words too; each repeated start adds the words the one before doesn't cover.
+_BITS = "length(bin(size(_words)))"
 _SORTED = (
     "CASE WHEN size(_words) >= 4 THEN sort_array(transform(sequence(0, size(_words) - 3), i -> "
     "(xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)) & shiftleft(-1L, _bits)) | CAST(i AS BIGINT))) END"
@@ -80,7 +81,18 @@ _SAME = (
     "(shiftright(x, _bits) = shiftright(get(_windows, {k}), _bits) AND "
     "slice(_words, CAST(x & _low AS INT) + 1, 3) = slice(_words, CAST(get(_windows, {k}) & _low AS INT) + 1, 3))"
 )
-_STARTS = f"sort_array(transform(filter(_windows, (x, k) -> coalesce({_SAME.format(k='k - 1')}, false) OR coalesce({_SAME.format(k='k + 1')}, false)), x -> x & _low))"
+_CLASH = (
+    "exists(sequence(1, size(_windows) - 1), k -> shiftright(get(_windows, k), _bits) = shiftright(get(_windows, k - 1), _bits) AND "
+    "slice(_words, CAST(get(_windows, k) & _low AS INT) + 1, 3) <> slice(_words, CAST(get(_windows, k - 1) & _low AS INT) + 1, 3))"
+)
+_EXACT = (
+    f"CASE WHEN size(_words) >= 4 AND {_CLASH} THEN sort_array(transform(_windows, x -> "
+    "named_struct('h', shiftright(x, _bits), 'w', slice(_words, CAST(x & _low AS INT) + 1, 3), 'i', x & _low))) END"
+)
+_STARTS = (
+    f"sort_array(CASE WHEN _exact IS NULL THEN transform(filter(_windows, (x, k) -> coalesce({_SAME.format(k='k - 1')}, false) OR coalesce({_SAME.format(k='k + 1')}, false)), x -> x & _low) "
+    "ELSE transform(filter(_exact, (x, k) -> coalesce(x.w = get(_exact, k - 1).w, false) OR coalesce(x.w = get(_exact, k + 1).w, false)), x -> x.i) END)"
+)
 _COVERED = "aggregate(_starts, named_struct('n', 0L, 'last', -3L), (a, i) -> named_struct('n', a.n + least(3L, i - a.last), 'last', i), a -> a.n)"
 
 
@@ -91,7 +103,7 @@ def measured(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     df = docs.select(*kept, text_or_empty().alias("_text"))
     df = df.select(*names, *[e.alias(n) for n, e in _first(F.col("_text")).items()])
     df = df.withColumn("_bits", F.expr(_BITS)).withColumn("_low", F.expr("~shiftleft(-1L, _bits)"))
-    df = df.withColumn("_windows", F.expr(_SORTED)).withColumn("_starts", F.expr(_STARTS))
+    df = df.withColumn("_windows", F.expr(_SORTED)).withColumn("_exact", F.expr(_EXACT)).withColumn("_starts", F.expr(_STARTS))
     return df.select(
         *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)],
         F.size("_words").cast("long").alias("n_words"),
