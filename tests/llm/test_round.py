@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("xxhash")
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from veracol.llm import mph_dedup, near_copies, quality_rules  # noqa: E402
+from veracol.llm import line_blocks, mph_dedup, near_copies, quality_rules  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -79,3 +79,13 @@ def test_windows_that_share_a_hash(spark, monkeypatch):
         monkeypatch.setattr(quality_rules, "_BITS", bits)
         got = quality_rules.measured(docs).orderBy("doc_id").collect()
         assert [r.n_repeat_words for r in got] == want
+
+
+def test_short_stretches_and_unclosed_heads():
+    long = "text " * 100
+    page = f"<body><p>{long}</p><div class=advert>buy</div><p>short close</p><div class=menu>m</div></body>"
+    assert line_blocks.main_text(page) == long.strip() + "\nshort close"
+    assert line_blocks.main_text("<html><head><title>T</title><script>a='<p>no'</script><body>a<p>b") == "a\nb"
+    assert line_blocks.main_text("<head><title>T</title><p>b</p>") == "b"
+    assert line_blocks.main_text("<head><noscript><div>n</div></noscript></head><p>b</p>") == "b"
+    assert line_blocks.main_text("<head><title>T") == ""

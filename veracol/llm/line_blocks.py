@@ -2,13 +2,13 @@
 
 Markup is stripped to lines, one for each block of the page, empty ones where an element that is no content
 stood (menus, footers, forms, scripts, adverts, comments). Text lengths are summed over a window that slides
-over the lines; the text begins where the sum surges and ends where it dives. Of the stretches between, those
-inside an article or main element are the text; a page without one gives its longest stretch and others of
-like size that aren't mostly links.
+over the lines; the text begins where the sum surges and ends where it dives. With both bounds at zero it is
+the filter of tags and marks that parts the stretches. Of these, those inside an article or main element are
+the text; a page without one gives every stretch that isn't mostly links.
 
 Defined cases: null or empty html, or a page without text, gives an empty string; a page of any length is
 read whole; unclosed tags end at the next block, an unclosed menu or advert at the article or the end of the
-body; repeated rows are extracted one by one; an empty table gives an empty result; only page_id, url and
+body, an unclosed head at the body or its first block; repeated rows are extracted one by one; an empty table gives an empty result; only page_id, url and
 html are read, so extra columns cannot clash.
 """
 
@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: Sums over which a window surges, and at or under which it dives.
 SURGE_CHARS, DIVE_CHARS = 0, 0
-#: Without an article: other stretches count from this share of the longest on, and up to this share of links.
-LIKE_SIZE, MOST_LINKS = 0.3, 0.5
+#: Without an article: stretches count up to this share of links.
+MOST_LINKS = 0.5
 
 #: Elements whose text is no text of the page at all.
-RAW = "script|style|noscript|template|iframe|svg|head|textarea|select|object|canvas|audio|video|math"
+RAW = "script|style|noscript|template|iframe|svg|textarea|select|object|canvas|audio|video|math"
 #: Elements that are no content wherever they stand.
 ASIDE = frozenset("nav footer aside form menu dialog button".split())
 #: Elements that end a line.
@@ -46,8 +46,13 @@ MARKS = frozenset(
     "disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted related "
     "replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: A head to its end; without one before the body, to the body or its first block outside of scripts.
+_HEAD = (
+    r"<head\b[^>]*(?<!/)>(?:(?:(?!<body\b).)*?</head\s*>|"
+    rf"(?:<(?:script|style|noscript|template)\b.*?(?:</(?:script|style|noscript|template)\s*>|\Z)|(?!<(?:body|{'|'.join(sorted(BLOCKS))})\b).)*+)"
+)
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|<[!?][^>]*>",
+    rf"{_HEAD}|<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>|<[!?][^>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -156,9 +161,7 @@ def main_text(page: str) -> str:
     elif found:
         size = [sum(x.size for x in s) for s in found]
         linked = [sum(x.links for x in s) / n for s, n in zip(found, size, strict=True)]
-        own = [n for n, l in zip(size, linked, strict=True) if l <= MOST_LINKS]
-        least = LIKE_SIZE * max(own, default=0)
-        chosen = [s for s, n, l in zip(found, size, linked, strict=True) if own and n >= least and l <= MOST_LINKS]
+        chosen = [s for s, l in zip(found, linked, strict=True) if l <= MOST_LINKS]
     else:
         chosen = []
     return "\n".join(x.text for s in chosen for x in s)
