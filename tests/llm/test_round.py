@@ -11,7 +11,7 @@ import pytest
 pytest.importorskip("xxhash")
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline  # noqa: E402
-from veracol.llm import line_blocks, mph_dedup, near_copies, quality_rules  # noqa: E402
+from veracol.llm import line_blocks, mph_dedup, near_copies, pii_crf, quality_rules  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -89,3 +89,10 @@ def test_short_stretches_and_unclosed_heads():
     assert line_blocks.main_text("<head><title>T</title><p>b</p>") == "b"
     assert line_blocks.main_text("<head><noscript><div>n</div></noscript></head><p>b</p>") == "b"
     assert line_blocks.main_text("<head><title>T") == ""
+
+
+def test_tokens_without_a_twin_become_spans():
+    chain = np.zeros((5, 5))
+    chain[1, 1] = 5.0
+    text = "a.b@c.de x9"
+    assert pii_crf.added_spans(text, pii_crf.base_spans(text), pii_crf.Field(np.zeros((pii_crf.N_FEATURES, 5)), chain)) == [("email", 9, 11)]

@@ -210,12 +210,11 @@ def marginals(doc: Document, field: Field) -> np.ndarray:
 def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
     """Tokens outside base spans that the field labels, without the punctuation at their ends."""
     doc = read(text, base)
-    if doc is None or (doc.base | (doc.twin < 0)).all():
-        # Without a twin outside the base spans a token has only the evidence that the patterns rejected.
+    if doc is None or doc.base.all():
         return []
     belief = marginals(doc, field)
     out = []
-    for i in np.flatnonzero(~doc.base & (doc.twin >= 0)):
+    for i in np.flatnonzero(~doc.base):
         label = int(belief[i].argmax())
         if label and belief[i, label] >= LEAST_MARGINAL:
             a, b = doc.spans[i]
