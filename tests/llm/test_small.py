@@ -39,11 +39,13 @@ def test_perfect_hash_numbers_all_keys_once():
 
 
 def test_index_checks_bytes():
-    import pandas as pd
-
-    digest = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
-    index = mph_dedup.Index(pd.DataFrame({"digest": [digest(i) for i in range(300)]}))
-    assert index.find(pd.Series([digest(i) for i in range(600)])).tolist() == [*range(300), *[-1] * 300]
+    raw = np.array([list(hashlib.sha256(str(i).encode()).digest()) for i in range(600)], np.uint8)
+    raw[7, :16] = raw[3, :16]  # one 64-bit key for two digests
+    index = mph_dedup.Index.of(raw[:300], np.arange(300), np.ones(300, bool), np.ones(300, np.int64))
+    for x in (index, mph_dedup.Index.read(index.row(0))):
+        at = x.find(raw)
+        assert sorted(at[:300]) == list(range(300)) and x.winner[at[:300]].tolist() == list(range(300))
+        assert at[300:].tolist() == [-1] * 300
 
 
 def test_gray_tree_misses_no_link():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +14,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 _own_roots: dict[str, str] = {}
+#: Where the tables are that `written` has returned.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where it names none (tests)."""
+    """The shared folder that the session names. Where it names none, a temporary one, for a master of one machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
         _own_roots[app] = tempfile.mkdtemp(prefix="veracol-")
@@ -33,7 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path is not None:
+            file = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            file.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(file, True)
 
 
 def text_or_empty(column: str = "text") -> Column:
