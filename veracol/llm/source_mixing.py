@@ -15,6 +15,8 @@ read, so extra columns cannot clash.
 
 from __future__ import annotations
 
+from math import lcm
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,21 +38,22 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, GAP))).cast("long")
 
 
-def keyed(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, source, size, key and bucket of every row.
+def keyed(docs: DataFrame, seed: int = SEED, buckets: int = BUCKETS, whole: bool = False) -> DataFrame:
+    """doc_id, source, size, key and bucket of every row; with `whole`, `row` too, which holds the input's columns.
 
     A document's quality weight falls with its symbols a word; a smaller key is taken earlier.
     """
-    text = text_or_empty()
-    symbols = F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
+    symbols = F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]", ""))
     quality = F.lit(1.0) / (1 + symbols / F.greatest("size", F.lit(1)))
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13)
     uniform = (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
     key = -F.log(uniform) / quality
+    names = ["row"] if whole else []
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-        .withColumn("size", words(text))
-        .select("doc_id", "source", "size", key.alias("key"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_or_empty().alias("text"), *row)
+        .withColumn("size", words(F.col("text")))
+        .select("doc_id", "source", "size", key.alias("key"), *names)
         .withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int"))
     )
 
@@ -65,9 +68,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     by_ratio = Window.orderBy("ratio", F.col("source").isNull(), "source")
     every = Window.partitionBy()
-    lcm = 6
+    multiple = lcm(*weights)
     df = sizes.withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1).cast("long"))
-    df = df.withColumn("ratio", F.expr(f"source_size * ({lcm} div w)")).withColumn("cap", F.lit(MOST_EPOCHS) * F.col("source_size"))
+    df = df.withColumn("ratio", F.expr(f"source_size * ({multiple} div w)")).withColumn("cap", F.lit(MOST_EPOCHS) * F.col("source_size"))
     df = df.withColumn("total", F.lit(top) * F.sum("source_size").over(every))
     before = F.coalesce(F.sum("cap").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     after = F.sum("w").over(by_ratio.rowsBetween(0, Window.unboundedFollowing))
@@ -81,14 +84,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     return df.select("source", "source_size", "target", "epochs", (F.col("due") - F.col("epochs") * F.col("source_size")).alias("budget"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies of every row.
-
-    `taken` counts words with repeats; `copies` counts whole documents, the one at the cut if at least half
-    of it is taken.
-    """
-    rows = written(keyed(docs, seed, buckets), "keyed")
-    sums = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "bucket_words")
+def planned(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """_source, source_size, target, epochs, budget, cut (bucket) and ahead (words in the buckets before it) of
+    each source. sums: source, bucket, words."""
     plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
@@ -100,27 +98,43 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED,
         .select(F.col("source").alias("_s"), "cut")
     )
     plan = plan.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_source"), "source_size", "target", "epochs", "budget", F.col("cut.bucket").alias("cut"), F.col("cut.ahead").alias("ahead"))
-    plan = written(plan, "source_plan")
+    return written(plan, "source_plan")
+
+
+def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Keyed rows with their source's plan, `taken` and `copies`; only those of a cut bucket are sorted."""
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     whole = joined.where("NOT bucket <=> cut").withColumn("part", F.expr("CASE WHEN bucket < cut THEN size ELSE 0L END"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at_cut = joined.where("bucket <=> cut").withColumn("before", F.col("ahead") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     at_cut = at_cut.withColumn("part", F.expr("least(size, greatest(0L, budget - before))")).drop("before")
-    return whole.unionByName(at_cut).select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        F.expr("epochs * size + part").alias("taken"),
-        F.expr("epochs + CAST(size > 0 AND 2 * part >= size AS BIGINT)").alias("copies"),
-    )
+    every = whole.unionByName(at_cut).withColumn("taken", F.expr("epochs * size + part"))
+    return every.withColumn("copies", F.expr("epochs + CAST(size > 0 AND 2 * part >= size AS BIGINT)"))
+
 
+def _sums(rows: DataFrame) -> DataFrame:
+    return written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "bucket_words")
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken whole, with the input's columns."""
-    taken = mixed(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).select(F.col("doc_id").alias("_taken"), "_copies")
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies of every row.
+
+    `taken` counts words with repeats; `copies` counts whole documents, the one at the cut if at least half
+    of it is taken.
+    """
+    rows = written(keyed(docs, seed, buckets), "keyed")
+    return taken(rows, planned(_sums(rows), weights)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+    """The mix itself: each row as often as it is taken whole, with the input's columns.
+
+    Rows are keyed again as they are read, so that whole documents are not shuffled but for a cut bucket's.
+    """
+    plan = planned(_sums(keyed(docs, seed, buckets)), weights)
+    rows = taken(keyed(docs, seed, buckets, whole=True), plan).where("copies > 0")
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
