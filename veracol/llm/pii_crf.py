@@ -1,21 +1,23 @@
 """Personal data by a skip-chain conditional random field.
 
-Base spans come from fixed patterns. Over the tokens of a document stands a field with labels OTHER, EMAIL,
-IP, CARD and PHONE: token factors (features of shape and of the base spans), chain factors between
-neighbours, and skip factors between distant tokens that are equal or alike (the same once case and
-punctuation at the ends are dropped, or the same digits). Loopy sum-product messages pass until they settle;
-tokens outside base spans whose marginal names an entity become added spans. Base spans always stay.
-
-Token and chain weights are trained by pseudo-likelihood on a bounded sample, with the base spans as labels.
-A skip factor joins a token to a hub of its class rather than to every twin, so that a token repeated n times
-costs n messages.
-
-Only tokens with evidence take part: an at sign, a digit, or a twin of such a token; all others have the
-label OTHER for sure, and act on their neighbours as that constant.
-
-Defined cases: null or empty text has no spans; texts of any length are read whole; equal texts get equal
-spans; offsets count code points, ends are exclusive; an empty table gives an empty result; only doc_id and
-text are read, so extra columns cannot clash.
+Base spans come from fixed patterns. The field stands over the units of a document that have evidence: each base
+span, and each token outside of base spans with a digit or an at sign. Labels are OTHER, EMAIL, IP, CARD and PHONE;
+factors are those of a unit's shape, of neighbours in the text (chain), and of distant units that are equal or
+alike, i.e. the same once case and the signs between their characters are dropped (skip). A base span's label is
+observed; loopy sum-product messages pass until they settle, and units outside base spans whose marginal names an
+entity, and which pass that entity's check, become added spans. Base spans always stay.
+
+A skip factor joins a unit to a hub of its class rather than to every twin, so that one repeated n times costs n
+messages; the hub is a variable of the field with a label of its own.
+
+All weights, that of the skip factors too, maximise the pseudo-likelihood of a bounded sample of documents: texts
+with evidence, labelled by their base spans, and for half of them a version into which one of their spans is
+written again in a form that the patterns miss (12.34... for 12 34...), which keeps its label. So the weights say
+how much a twin tells about a unit that no pattern finds.
+
+Defined cases: null or empty text has no spans; texts of any length are read whole, in time that grows with
+their length; equal texts get equal spans; offsets count code points, ends are exclusive; an empty table gives an
+empty result; only doc_id and text are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -32,26 +34,31 @@ from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-#: Bounds of the training sample: texts, and tokens with evidence.
-TRAIN_TEXTS, TRAIN_TOKENS = 1_000, 20_000
-#: Strength of a skip factor, and of a token's own base span.
-SKIP_WEIGHT, BASE_WEIGHT = 1.5, 4.0
+#: Bounds of the training sample: texts, characters of a text that is drawn, units.
+TRAIN_TEXTS, TRAIN_CHARS, TRAIN_UNITS = 1_000, 20_000, 40_000
 #: Message rounds at most, the change at which they have settled, and the share of the old message kept.
 ROUNDS, SETTLED, DAMPING = 30, 1e-4, 0.3
 #: Marginal from which on an entity label makes a span.
 LEAST_MARGINAL = 0.6
+#: Steps of the fit, their length, and the pull of weights to zero.
+STEPS, RATE, RIDGE = 400, 2.0, 1e-4
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _EVIDENCE = re.compile(r"[0-9@]")
-_DIGITS = re.compile(r"[0-9]")
+_NO_DIGIT = re.compile(r"[^0-9]+")
+_SIGNS = re.compile(r"[\W_]+")
 _EDGES = "\"'`.,;:!?()[]{}<>"
 
 
+def _digits(text: str) -> str:
+    return _NO_DIGIT.sub("", text)
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
@@ -59,122 +66,170 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(part: str) -> bool:
+    part = part.lstrip("0")
+    return len(part) <= 3 and int(part or 0) <= 255
+
+
+def _is_card(text: str) -> bool:
+    digits = _digits(text)
+    return 13 <= len(digits) <= 19 and _luhn(digits)
+
+
+def _emails(text: str) -> list[tuple[int, int]]:
+    out, at, begin = [], text.find("@"), 0
+    while at >= 0:
+        # A match can only begin in the local part before an at sign.
+        local = begin + len(text[begin:at].rstrip(_LOCAL))
+        m = _EMAIL.match(text, local) if local < at else None
+        begin = at + 1
+        if m:
+            out.append(m.span())
+            begin = m.end()
+        at = text.find("@", begin)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start."""
-    out = []
-    if "@" in text:
-        # Only from the local part before an at sign can a match begin; others fail, and fail slowly.
-        at = text.find("@")
-        begin = 0
-        while at >= 0:
-            local = at
-            while local > begin and _LOCAL.fullmatch(text, local - 1, local):
-                local -= 1
-            m = _EMAIL.match(text, local) if local < at else None
-            begin = at + 1
-            if m:
-                out.append(("email", *m.span()))
-                begin = m.end()
-            at = text.find("@", begin)
-    if _DIGITS.search(text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
-        for m in _CARD.finditer(text):
-            digits = m[0].replace(" ", "").replace("-", "")
-            if 13 <= len(digits) <= 19 and _luhn(digits):
-                out.append(("card", *m.span()))
+    out = [("email", a, b) for a, b in _emails(text)]
+    if _EVIDENCE.search(text):
+        for m in _DOTTED.finditer(text):
+            if m[0].count(".") >= 3:
+                # Four groups at a time, as leftmost matches take them.
+                parts, start = m[0].split("."), m.start()
+                for i in range(0, len(parts) - 3, 4):
+                    size = sum(map(len, parts[i : i + 4])) + 3
+                    if all(map(_byte, parts[i : i + 4])):
+                        out.append(("ip", start, start + size))
+                    start += size + 1
+        out += [("card", *m.span()) for m in _CARD.finditer(text) if m.end() - m.start() >= 13 and _is_card(m[0])]
         if "+" in text:
-            out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_DIGITS.findall(m[0])) <= 15]
+            out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return out
 
 
-def alike(token: str) -> str:
-    """What equal or similar tokens share: their digits where they are mostly digits, else their core."""
-    core = token.strip(_EDGES).lower()
-    digits = "".join(_DIGITS.findall(core))
+def passes(kind: str, text: str) -> bool:
+    """Whether the text, signs between its characters aside, can be of the kind."""
+    if kind == "card":
+        return _is_card(text)
+    if kind == "phone":
+        return 9 <= len(_digits(text)) <= 15
+    if kind == "ip":
+        parts = [x for x in _NO_DIGIT.split(text) if x]
+        return len(parts) == 4 and all(map(_byte, parts))
+    return bool(_emails(text))
+
+
+def alike(unit: str) -> str:
+    """What equal or similar units share: their digits where they are mostly digits, else letters and digits."""
+    core = _SIGNS.sub("", unit).lower()
+    digits = _digits(core)
     return "#" + digits if len(digits) >= 6 and 2 * len(digits) >= len(core) else core
 
 
-#: Features of a token: of its shape, and of the tokens beside it.
-N_FEATURES = 10
+#: Features of a unit: of its shape, and of what stands beside it.
+N_FEATURES = 12
 
 
-def _features(tokens: list[str], i: int) -> list[float]:
-    t = tokens[i].strip(_EDGES)
-    n, digits = max(1, len(t)), len(_DIGITS.findall(t))
-    beside = (tokens[i - 1] if i else "") + " " + (tokens[i + 1] if i + 1 < len(tokens) else "")
+def _features(unit: str, before: str, after: str) -> list[float]:
+    t = unit.strip(_EDGES)
+    n, digits = max(1, len(t)), len(_digits(t))
+    groups = [x for x in _NO_DIGIT.split(t) if x]
     return [
         1.0,
         "@" in t,
         "@" in t and "." in t.rpartition("@")[2],
         digits / n,
-        t.count(".") == 3 and digits >= 4,
-        digits >= 13,
-        t.startswith("+") or tokens[i].startswith("+"),
-        "(" in tokens[i] or ")" in tokens[i],
-        7 <= digits <= 12,
-        bool(_DIGITS.search(beside)) or "+" in beside,
+        len(groups) == 4 and all(map(_byte, groups)),
+        13 <= digits <= 19,
+        _is_card(t),
+        unit.startswith("+"),
+        "(" in unit and ")" in unit,
+        9 <= digits <= 15,
+        digits > 19,
+        bool(_EVIDENCE.search(before) or _EVIDENCE.search(after)),
     ]
 
 
 @dataclass(frozen=True)
 class Field:
-    """Weights of token features by label and of neighbouring labels."""
+    """Weights of unit features by label, of neighbouring labels, and of a twin's hub with an equal label."""
 
     token: np.ndarray
     chain: np.ndarray
+    skip: float
 
 
 @dataclass
 class Document:
-    """The tokens with evidence of a text."""
+    """The units with evidence of a text."""
 
     spans: list[tuple[int, int]]
     features: np.ndarray
     label: np.ndarray
+    #: Whether the label is observed.
     base: np.ndarray
-    #: Whether the token before it in the text is the one before it here.
+    #: Whether the unit before it in the text is the one before it here.
     follows: np.ndarray
-    #: Class of alike tokens; -1 for a token without a twin.
+    #: Class of alike units; -1 for a unit without a twin.
     twin: np.ndarray
 
 
 def read(text: str, base: list[tuple[str, int, int]]) -> Document | None:
-    found = [m.span() for m in _TOKEN.finditer(text)] if _EVIDENCE.search(text) else []
-    tokens = [text[a:b] for a, b in found]
-    seeds = [i for i, t in enumerate(tokens) if _EVIDENCE.search(t)]
-    if not seeds:
+    """Units in order: base spans whole (a later one that overlaps is left to the first), then tokens clear of them."""
+    if not _EVIDENCE.search(text):
+        return None
+    taken: list[tuple[int, int, int]] = []
+    for a, b, kind in sorted((a, b, LABELS.index(k)) for k, a, b in base):
+        if not taken or a >= taken[-1][1]:
+            taken.append((a, b, kind))
+    units: list[tuple[int, int, int, int]] = []
+    words: list[tuple[int, int]] = []
+    k = 0
+    for m in _TOKEN.finditer(text):
+        a, b = m.span()
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k < len(taken) and taken[k][0] < b:
+            j = k
+            while j < len(taken) and taken[j][0] < b:
+                if not units or units[-1][0] != taken[j][0]:
+                    units.append((*taken[j], len(words)))
+                    words.append((a, b))
+                j += 1
+        else:
+            if _EVIDENCE.search(m[0]):
+                units.append((a, b, 0, len(words)))
+            words.append((a, b))
+    if not units:
         return None
-    # Twins of evidence have evidence themselves, since alike tokens share their characters but for the edges.
-    keys = [alike(tokens[i]) for i in seeds]
+    keys = [alike(text[a:b]) for a, b, *_ in units]
     classes: dict[str, int] = {}
-    number = [classes.setdefault(k, len(classes)) if len(k) >= 4 else -1 for k in keys]
-    sizes = np.bincount([n for n in number if n >= 0], minlength=len(classes) + 1)
-    twin = np.array([n if n >= 0 and sizes[n] > 1 else -1 for n in number])
-    label = np.zeros(len(seeds), np.int64)
-    starts = np.array([found[i][0] for i in seeds])
-    ends = np.array([found[i][1] for i in seeds])
-    for kind, a, b in base:
-        label[(starts < b) & (ends > a)] = LABELS.index(kind)
-    features = np.array([_features(tokens, i) for i in seeds], float)
-    follows = np.r_[False, np.diff(seeds) == 1]
-    return Document([found[i] for i in seeds], features, label, label > 0, follows, twin)
+    number = np.array([classes.setdefault(x, len(classes)) for x in keys])
+    twin = np.where(np.bincount(number)[number] > 1, number, -1)
+    place = [w for *_, w in units]
+    word = lambda i: text[slice(*words[i])] if 0 <= i < len(words) else ""
+    features = np.array([_features(text[a:b], word(w - 1), word(w + 1)) for a, b, _, w in units], float)
+    label = np.array([x for _, _, x, _ in units])
+    return Document([(a, b) for a, b, *_ in units], features, label, label > 0, np.r_[False, np.diff(place) == 1], twin)
 
 
 def marginals(doc: Document, field: Field) -> np.ndarray:
-    """Label marginals of each token, by damped loopy messages along the chain and through the hubs."""
+    """Label marginals of each unit, by damped loopy messages along the chain and through the hubs."""
     k, n = len(LABELS), len(doc.label)
     own = np.exp(np.clip(doc.features @ field.token, -30, 30))
-    own[np.arange(n)[doc.base], doc.label[doc.base]] *= np.exp(BASE_WEIGHT)
     # A neighbour without evidence is OTHER for sure.
     chain = np.exp(field.chain)
     own *= np.where(doc.follows[:, None], 1.0, chain[0])
     own *= np.where(np.r_[doc.follows[1:], False][:, None], 1.0, chain[:, 0])
+    own[doc.base] = np.eye(k)[doc.label[doc.base]]
     own /= own.sum(axis=1, keepdims=True)
     link = np.flatnonzero(doc.follows)
     ahead, back = np.full((n, k), 1 / k), np.full((n, k), 1 / k)
     linked = np.flatnonzero(doc.twin >= 0)
     hub = doc.twin[linked]
-    pull = np.exp(SKIP_WEIGHT * np.eye(k))
+    pull = np.exp(field.skip * np.eye(k))
     from_hub = np.full((len(linked), k), 1 / k)
     sums = np.zeros((int(doc.twin.max()) + 1, k)) if len(linked) else np.zeros((1, k))
     ahead_on, back_on = np.ones((n, k)), np.ones((n, k))
@@ -208,7 +263,8 @@ def marginals(doc: Document, field: Field) -> np.ndarray:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> list[tuple[str, int, int]]:
-    """Tokens outside base spans that the field labels, without the punctuation at their ends."""
+    """Units outside base spans that the field labels and that pass the label's check, without the punctuation at
+    their ends."""
     doc = read(text, base)
     if doc is None or doc.base.all():
         return []
@@ -222,39 +278,96 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
                 a += 1
             while b > a and text[b - 1] in _EDGES:
                 b -= 1
-            if a < b:
+            if a < b and passes(LABELS[label], text[a:b]):
                 out.append((LABELS[label], a, b))
     return out
 
 
+def disguised(kind: str, span: str, turn: int) -> str:
+    """The span in a form that the patterns miss; empty for a kind without one."""
+    digits, sign = _digits(span), ("", "/", "_")[turn % 3]
+    if kind == "phone":
+        return digits if not sign else sign.join((digits[:2], digits[2:5], digits[5:]))
+    if kind == "card":
+        return (sign or ".").join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    return span.replace(".", sign or "-") if kind == "ip" else ""
+
+
+def _with_repeat(text: str, base: list[tuple[str, int, int]], turn: int) -> Document | None:
+    """The text with one of its spans written again, disguised, between two words of it."""
+    can = [s for s in base if s[0] != "email"]
+    if not can:
+        return None
+    kind, a, b = can[turn % len(can)]
+    form = disguised(kind, text[a:b], turn)
+    gaps = [0, *(m.end() for m in _TOKEN.finditer(text) if not any(x < m.end() < y for _, x, y in base)), len(text)]
+    at = gaps[(turn * 7919) % len(gaps)]
+    text = f"{text[:at]} {form} {text[at:]}"
+    doc = read(text, base_spans(text))
+    if doc is not None:
+        doc.label[[i for i, s in enumerate(doc.spans) if s == (at + 1, at + 1 + len(form)) and not doc.base[i]]] = LABELS.index(kind)
+    return doc
+
+
+def _twins_said(doc: Document) -> np.ndarray:
+    """How many of each unit's twins have each label."""
+    k = len(LABELS)
+    each = np.eye(k)[doc.label]
+    out = np.zeros((len(doc.label), k))
+    linked = np.flatnonzero(doc.twin >= 0)
+    if len(linked):
+        sums = np.zeros((int(doc.twin.max()) + 1, k))
+        np.add.at(sums, doc.twin[linked], each[linked])
+        out[linked] = sums[doc.twin[linked]] - each[linked]
+    return out
+
+
 def fit_texts(texts: list[str]) -> Field:
-    """Weights by pseudo-likelihood: each label given its features and its neighbours' labels."""
+    """Weights by pseudo-likelihood: each label given its features, its neighbours' labels and its twins' labels
+    (summed over the label of their hub)."""
     k = len(LABELS)
-    rows, labels, room = [], [], TRAIN_TOKENS
-    for text in texts:
-        doc = read(text, base_spans(text))
-        if doc is None or room <= 0:
-            continue
-        room -= len(doc.label)
-        before = np.where(doc.follows, np.r_[0, doc.label[:-1]], 0)
-        after = np.where(np.r_[doc.follows[1:], False], np.r_[doc.label[1:], 0], 0)
-        rows.append(np.c_[doc.features, np.eye(k)[before], np.eye(k)[after]])
-        labels.append(doc.label)
-    w = np.zeros((N_FEATURES + 2 * k, k))
-    if rows:
-        x, y = np.concatenate(rows), np.eye(k)[np.concatenate(labels)]
-        for _ in range(300):
-            z = x @ w
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            w += 2.0 * (x.T @ (y - p / p.sum(axis=1, keepdims=True)) / len(x) - 1e-3 * w)
-    before, after = w[N_FEATURES : N_FEATURES + k], w[N_FEATURES + k :]
-    return Field(w[:N_FEATURES], (before + after.T) / 2)
-
-
-def fit(docs: DataFrame, texts: int = TRAIN_TEXTS) -> Field:
-    """Weights from a bounded sample of the texts with evidence, drawn by a hash of the text."""
+    docs, room = [], TRAIN_UNITS
+    for turn, text in enumerate(texts):
+        base = base_spans(text)
+        for doc in (read(text, base), _with_repeat(text, base, turn // 2) if turn % 2 else None):
+            if doc is not None and room > 0:
+                room -= len(doc.label)
+                docs.append(doc)
+    token, chain, skip = np.zeros((N_FEATURES, k)), np.zeros((k, k)), 0.5
+    if not docs:
+        return Field(token, chain, skip)
+    x, label = np.concatenate([d.features for d in docs]), np.concatenate([d.label for d in docs])
+    before = np.concatenate([np.where(d.follows, np.r_[0, d.label[:-1]], 0) for d in docs])
+    after = np.concatenate([np.where(np.r_[d.follows[1:], False], np.r_[d.label[1:], 0], 0) for d in docs])
+    said = np.concatenate([_twins_said(d) for d in docs])
+    y, eye = np.eye(k)[label], np.eye(k)
+
+    def likely(weight: float) -> tuple[np.ndarray, float]:
+        """Each unit's label given all else, and the mean log of that of the labels."""
+        hub = np.exp(weight * (said - said.max(axis=1, keepdims=True)))
+        z = x @ token + chain[before] + chain[:, after].T + np.log(hub @ np.exp(weight * eye))
+        z -= z.max(axis=1, keepdims=True)
+        p = np.exp(z)
+        p /= p.sum(axis=1, keepdims=True)
+        return p, float(np.log(np.maximum((p * y).sum(axis=1), 1e-300)).mean())
+
+    for _ in range(STEPS):
+        p, _ = likely(skip)
+        step = (y - p) / len(x)
+        slope = (likely(skip + 1e-3)[1] - likely(skip - 1e-3)[1]) / 2e-3
+        token += RATE * (x.T @ step - RIDGE * token)
+        moved = np.zeros((k, k))
+        np.add.at(moved, before, step)
+        np.add.at(moved.T, after, step)
+        chain += RATE * (moved - RIDGE * chain)
+        skip = max(0.0, skip + RATE * (slope - RIDGE * skip))
+    return Field(token, chain, skip)
+
+
+def fit(docs: DataFrame, texts: int = TRAIN_TEXTS, chars: int = TRAIN_CHARS) -> Field:
+    """Weights from a bounded sample of the texts with evidence of up to `chars` characters, drawn by a hash."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000)).withColumn("_h", F.xxhash64("text"))
+    rows = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]") & (F.length("text") <= chars)).withColumn("_h", F.xxhash64("text"))
     # Hashes are drawn first, texts fetched after, so that tasks send the driver no more than the sample.
     drawn = [r._h for r in rows.select("_h").distinct().orderBy("_h").limit(texts).collect()]
     if not drawn:
