@@ -42,7 +42,7 @@ def test_near_dedup_links_by_text(spark, monkeypatch):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
-    for rows in (1024, 3):
+    for rows in (1024, 3, 5):
         monkeypatch.setattr(near_copies, "BLOCK_ROWS", rows)
         got = corpus_pipeline.near_dedup(spark, docs, "")
         assert got.columns == docs.columns
@@ -93,6 +93,91 @@ def test_short_stretches_and_unclosed_heads():
 
 def test_tokens_without_a_twin_become_spans():
     chain = np.zeros((5, 5))
-    chain[1, 1] = 5.0
-    text = "a.b@c.de x9"
-    assert pii_crf.added_spans(text, pii_crf.base_spans(text), pii_crf.Field(np.zeros((pii_crf.N_FEATURES, 5)), chain)) == [("email", 9, 11)]
+    chain[4, 4] = 5.0
+    text = "+1 (456) 5552186 145/655/52187 x9"
+    assert pii_crf.added_spans(text, pii_crf.base_spans(text), pii_crf.Field(np.zeros((pii_crf.N_FEATURES, 5)), chain, 0.0)) == [("phone", 17, 30)]
+
+
+def test_history_index_is_kept_and_extended(spark):
+    from pyspark.sql import functions as F
+
+    from veracol.llm.common import written
+
+    rows = lambda *x: spark.createDataFrame(list(x), "doc_id long, text string")
+    old = mph_dedup.winners(mph_dedup.digested(rows((5, "a"), (9, "b"), (None, "c"), (6, "a b"))))
+    index = written(mph_dedup.built(old, 16), "kept_index")
+    new = rows((3, "a"), (11, "b"), (4, "c"), (2, "d"), (8, "d"), (7, "a\tb"), (10, None), (12, ""))
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in mph_dedup.grouped(new, index, 16).collect()}
+    assert got == {(3, 3, 2, True), (11, 9, 2, False), (4, 4, 2, True), (2, 2, 2, True), (8, 2, 2, False), (7, 6, 2, False), (10, 10, 2, True), (12, 10, 2, False)}
+    after = mph_dedup.merged(index, mph_dedup.winners(mph_dedup.digested(new)), 16)
+    assert after.agg(F.sum("n")).first()[0] == 12 and after.count() == 6 and after.where("repeat").count() == 4
+    again = written(mph_dedup.built(after.drop("repeat"), 16), "kept_index")
+    assert mph_dedup.grouped(rows((1, "d")), again, 16).first().group_size == 3
+
+
+def test_extra_columns_never_clash(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = spark.createDataFrame([(1, one, "en", "a", 1), (2, one, "en", "a", 1), (3, two, "en", "b", 1)], SCHEMA)
+    for name in ("_keep", "_taken", "_copies", "_copy", "_row", "_digest", "node", "bands", "digest", "row", "label"):
+        docs = docs.withColumn(name, docs.doc_id + 1)
+    assert sorted(tuple(r) for r in mph_dedup.kept_documents(docs).collect()) == sorted(tuple(r) for r in docs.where("doc_id <> 2").collect())
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+    mix = corpus_pipeline.mixing(spark, docs, "")
+    assert mix.columns == docs.columns and mix.count() > 0
+
+
+@pytest.mark.parametrize("weights", [(3, 1, 2), (4, 3), (5,)])
+def test_targets_at_any_weights(spark, weights):
+    from fractions import Fraction
+
+    from veracol.llm import source_mixing
+
+    rnd = random.Random(4)
+    for _ in range(4):
+        sizes = [(f"s{i:02}", rnd.choice((0, 1, 10, 1000, 9999))) for i in range(7)]
+        rows = source_mixing.targets(spark.createDataFrame(sizes, "source string, source_size long"), weights).collect()
+        got = {r.source: r.target for r in rows}
+        w = {s: weights[i % len(weights)] for i, (s, _) in enumerate(sizes)}
+        left, free, want = Fraction(3 * sum(n for _, n in sizes), 2), dict(sizes), {}
+        while free:
+            share = {s: left * w[s] / sum(w[x] for x in free) for s in free}
+            over = [s for s in free if share[s] > 2 * free[s]]
+            if not over:
+                want |= share
+                break
+            for s in over:
+                want[s] = Fraction(2 * free.pop(s))
+                left -= want[s]
+        assert got == pytest.approx({s: float(x) for s, x in want.items()})
+
+
+def test_rows_of_one_id_mix_apart(spark):
+    from veracol.llm import source_mixing
+
+    rows = [(1, "w " * n, "en", "a", 1) for n in (5, 50, 500)] + [(2, "x " * 9, "en", "b", 1)] * 3
+    docs = spark.createDataFrame(rows, SCHEMA)
+    mix = source_mixing.mixed_documents(docs)
+    want = sum(r.copies * r["size"] for r in source_mixing.mixed(docs).collect())
+    assert sum(len(r.text.split()) for r in mix.collect()) == want
+
+
+def test_large_groups_are_compared_whole(spark, monkeypatch):
+    """Chains of links across blocks, against all pairs."""
+    rnd = random.Random(11)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for _ in range(6):
+        now = list(words)
+        for _ in range(14):
+            texts.append(" ".join(now))
+            for i in rnd.sample(range(len(now)), 2):
+                now[i] = f"x{rnd.randrange(5000)}"
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", 7)
+    assert sorted(r.doc_id for r in near_copies.kept_documents(docs).collect()) == sorted(set(root))

@@ -22,32 +22,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veracol.llm.common import written
+from veracol.llm.common import discard, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 SEED = 42
 #: Children of a node.
 FANOUT = 16
+#: Members of a bucket that the length of the keys aims at.
+BUCKET_ROWS = 1024
 #: Members of a bucket above which it is searched in blocks, pair by pair.
-BLOCK_ROWS = 1024
-#: Queries that descend together.
-QUERIES_AT_ONCE = 1024
+BLOCK_ROWS = 8192
+#: Pairs at most that queries which descend together can bring.
+PAIRS_AT_ONCE = 1 << 20
 #: Rows searched together (whole groups).
-ROWS_AT_ONCE = 8192
+ROWS_AT_ONCE = 16384
 
 
-def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
-    """64 bits, each set if it is set in over half of the shingles' hashes; zero without a word."""
+def shingle_hashes(text: str, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of each shingle of lower-case words, repeats included; none without a word."""
     import xxhash
 
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, k = b" ".join(words), min(shingle_words, len(words))
     starts = [0, *accumulate(len(w) + 1 for w in words)]
     of = xxhash.xxh64_intdigest
-    hashes = np.array([of(joined[a : b - 1], SEED) for a, b in zip(starts, starts[k:], strict=False)], np.uint64)
+    return np.array([of(joined[a : b - 1], SEED) for a, b in zip(starts, starts[k:], strict=False)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the hashes; zero without a hash."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -55,6 +61,10 @@ def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
+    return majority(shingle_hashes(text, shingle_words))
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id and fp (its 64 bits as a long) of every whole text."""
 
@@ -85,7 +95,7 @@ def bit_keys(distinct: int, max_bits: int = MAX_BITS) -> list[int]:
         edges = [64 * i // n for i in range(n + 1)]
         blocks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
         masks = [sum(c) for c in combinations(blocks, extra)]
-        if distinct >> min(m.bit_count() for m in masks) < BLOCK_ROWS:
+        if distinct >> min(m.bit_count() for m in masks) < BUCKET_ROWS:
             break
     return masks
 
@@ -116,12 +126,20 @@ class GrayTree:
             parent = np.repeat(np.arange(len(above[2])), above[3] - above[2])
             below[1] = below[1] & ~above[1][parent]
 
-    def links(self, query: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (a row of query, a later row of its group) at most max_bits apart."""
+    def links(self, query: np.ndarray, max_bits: int, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (a row of query, a later row of its group) at most max_bits apart that root doesn't join yet.
+
+        A node goes too where all below it hang together with the query already.
+        """
         node, gone = self.group[query], np.zeros(len(query), np.uint8)
-        for low, mask, begin, end in reversed(self.levels):
+        low_root = high_root = root
+        joined = []
+        for _, _, begin, _ in self.levels:
+            low_root, high_root = np.minimum.reduceat(low_root, begin), np.maximum.reduceat(high_root, begin)
+            joined.append(np.where(low_root == high_root, low_root, -1))
+        for (low, mask, begin, end), one in zip(reversed(self.levels), reversed(joined), strict=True):
             gone = gone + np.bitwise_count((self.codes[query] ^ low[node]) & mask[node])
-            stay = gone <= max_bits
+            stay = (gone <= max_bits) & (one[node] != root[query])
             query, node, gone = query[stay], node[stay], gone[stay]
             children = end[node] - begin[node]
             nth = np.arange(children.sum()) - np.repeat(np.cumsum(children) - children, children)
@@ -148,8 +166,12 @@ def _group_links(groups: np.ndarray, codes: np.ndarray, max_bits: int) -> tuple[
     order = np.lexsort((gray_rank(codes), groups))
     groups, codes = groups[order], codes[order]
     tree, root = GrayTree(groups, codes), np.arange(len(codes))
-    for at in range(0, len(codes), QUERIES_AT_ONCE):
-        root = _united(root, *tree.links(np.arange(at, min(at + QUERIES_AT_ONCE, len(codes))), max_bits))
+    # A few queries first, which join the members of tight groups; then as many as bounded memory allows.
+    largest, at, step = int(np.bincount(tree.group).max()), 0, 16
+    while at < len(codes):
+        root = _united(root, *tree.links(np.arange(at, min(at + step, len(codes))), max_bits, root))
+        at += step
+        step = min(4 * step, max(16, PAIRS_AT_ONCE // largest))
     hangs = root != np.arange(len(codes))
     return codes[hangs], codes[root[hangs]]
 
@@ -204,10 +226,12 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).withColumnRenamed("u", "_u")
-        large = written(both.where("v > u").join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large_star")
+        before, large = now, written(both.where("v > u").join(least, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large_star")
+        discard(before)
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), "m")
         rest = large.join(least, F.col("u") == F.col("_u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = written(rest.unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct(), "small_star")
+        discard(large)
 
 
 def grouped(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
