@@ -237,3 +237,25 @@ def test_title_words_and_stems(spark):
     assert one(spark, shared, "Deep learning for road surface", "the road surface study") == 2
     assert one(spark, t.light_stem(F.col("c0"), lx.SUFFIXES), "технического") == "техни"
     assert one(spark, t.filename_key(F.col("c0")), "/a/b/[Smith2020].v1.TXT") == "smith2020.v1"
+
+
+def test_gram_join_paths_agree(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(1)
+    word = lambda: "".join(rnd.choice("abcdeжé") for _ in range(rnd.randint(1, 5)))
+    texts = [" ".join(word() for _ in range(rnd.randint(0, 12))) for _ in range(60)]
+    edited = lambda x: "".join(c if rnd.random() > 0.06 else rnd.choice("abcde ") for c in x)
+    left = spark.createDataFrame([(i, edited(rnd.choice(texts))) for i in range(150)] + [(900, None), (901, "ab")], "id long, sentence string")
+    right = spark.createDataFrame([*enumerate(texts), (900, None)], "item long, text string")
+    grams = lambda x: {c[i : i + 3] for c in ["".join(ch for ch in (x or "").lower() if ch.isalnum() or ch == "_")] for i in range(len(c) - 2)}
+    want = set()
+    for i, a in ((r.id, grams(r.sentence)) for r in left.collect()):
+        for j, b in ((k, grams(x)) for k, x in enumerate(texts)):
+            if a and b and len(a & b) / len(a | b) > 0.45:
+                want.add((i, j, round(len(a & b) / len(a | b), 9)))
+    assert len(want) > 50
+    for rows in (4096, 0):
+        monkeypatch.setattr(similarity, "CARRIED_ROWS", rows)
+        got = similarity.gram_join(left, right, "sentence", "text", ["id"], ["item"]).collect()
+        assert {(r.id, r.item, round(r.similarity, 9)) for r in got} == want and len(got) == len(want)

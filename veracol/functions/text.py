@@ -76,9 +76,14 @@ def chunks(text: str, size: int = 500, overlap: int = 100) -> Column:
     )
 
 
+def letters(c: Column) -> Column:
+    """The text's letters, digits and underscores, lower case."""
+    return F.regexp_replace(F.lower(c), EDGE, "")
+
+
 def grams(c: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the text's letters, digits and underscores, lower case."""
-    clean = F.regexp_replace(F.lower(c), EDGE, "")
+    clean = letters(c)
     return F.array_distinct(F.regexp_extract_all(clean, F.lit(f"(?=({'.' * n}))"), 1))
 
 
