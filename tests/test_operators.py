@@ -259,3 +259,29 @@ def test_gram_join_paths_agree(spark, monkeypatch):
         monkeypatch.setattr(similarity, "CARRIED_ROWS", rows)
         got = similarity.gram_join(left, right, "sentence", "text", ["id"], ["item"]).collect()
         assert {(r.id, r.item, round(r.similarity, 9)) for r in got} == want and len(got) == len(want)
+
+
+def test_bibliography_rows_carry_the_last_risks(spark):
+    from veracol.operators import risk, sentences
+
+    text = ["One two three of the four", "Five six", "entry one", "entry two"]
+    rows = [(d, i, s) for d in (1, 2) for i, s in enumerate(text)]
+    df = sentences.features(spark.createDataFrame(rows, "doc_id long, sent_idx int, sentence string"), ("of the",), ())
+    df = df.withColumn("is_bibliography", F.expr("CASE WHEN doc_id = 1 THEN sent_idx > 1 ELSE sent_idx <> 1 END")).withColumn("is_flagged", F.expr("sent_idx <> 1"))
+    got = {(r.doc_id, r.sent_idx): r for r in risk.running_risks(df).collect()}
+    assert len(got) == 8
+    assert [got[1, i].predictability_risk for i in range(4)] == [100.0, 50.0, 50.0, 50.0]
+    assert tuple(got[1, 3])[2:] == tuple(got[1, 1])[2:] and tuple(got[2, 0])[2:] == (0.0,) * 4
+    assert risk.document_risks(df).where("doc_id = 2").first().n_sentences == 1
+
+
+def test_diagnosis_routes(spark):
+    from veracol.operators import diagnosis, sentences
+
+    rows = [(1, 0, "Plain words stand here now", 20.0, 20.0, False), (1, 1, "A cliche of the sort", 20.0, 20.0, False), (1, 2, "Low one", 10.0, 10.0, False), (1, 3, "Entry", 10.0, 10.0, True), (1, 4, "No model here", None, None, False)]
+    df = spark.createDataFrame(rows, "doc_id long, sent_idx int, sentence string, ppl double, head_ppl double, is_bibliography boolean")
+    df = sentences.features(df, ("of the",), ()).withColumns({"ppl_low": F.lit(15.0), "ppl_high": F.lit(80.0), "nv_ratio_max": F.lit(9.0)})
+    got = {r.sent_idx: r for r in diagnosis.diagnosed(df).collect()}
+    assert [got[i].route for i in range(5)] == ["early_exit", "judge", "judge", "bibliography", "passed"]
+    assert [got[i].issue_type for i in range(5)] == [None, "style_cliche", "ai_generated_suspicion", None, None]
+    assert [got[i].status for i in range(5)] == ["passed", "flagged", "flagged", "passed", "passed"]

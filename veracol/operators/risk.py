@@ -17,7 +17,7 @@ def _sums(over=None) -> dict[str, Column]:
     """The exact sums that every risk is a ratio of."""
     excess = F.expr("least(2.00, greatest(0.00, nv_ratio - 1.50)) + least(1.0, 0.5 * n_passive) * 2 + least(1.0, 0.5 * n_chains) * 2").cast("decimal(12,2)")
     each = {
-        "n": F.count(F.lit(1)),
+        "n": F.count("n_tokens"),
         "words": F.sum("n_tokens"),
         "words2": F.sum(F.expr("n_tokens * n_tokens")),
         "excess": F.sum(excess),
@@ -28,14 +28,23 @@ def _sums(over=None) -> dict[str, Column]:
     return {f"_{k}": (v.over(over) if over is not None else v) for k, v in each.items()}
 
 
+def _body_only(rows: DataFrame) -> DataFrame:
+    """Bibliography rows with null measures, which no sum counts."""
+    if "is_bibliography" not in rows.columns:
+        return rows
+    measures = [c for c in ("n_tokens", "nv_ratio", "n_passive", "n_chains", "n_cliches", "n_connectors", "is_flagged", "is_unjudged") if c in rows.columns]
+    return rows.withColumns({c: F.when(~F.col("is_bibliography"), F.col(c)) for c in measures})
+
+
 def _ratios() -> dict[str, Column]:
     spread = "sqrt(CAST(_n * _words2 - _words * _words AS DOUBLE)) / _n"
-    return {
+    risks = {
         "predictability_risk": F.expr("100 * CAST(_flagged AS DOUBLE) / greatest(1L, _n - _unjudged)"),
         "uniformity_risk": F.expr(f"CASE WHEN _n > 1 THEN greatest(0.0D, least(100.0D, (11.0D - {spread}) * 10.0D)) ELSE 0.0D END"),
         "translationese_risk": F.expr("CAST(_excess AS DOUBLE) / (_n * 6) * 100"),
         "redundancy_risk": F.expr("100 * CAST(_redundant AS DOUBLE) / _n"),
     }
+    return {k: F.when(F.col("_n") == 0, 0.0).otherwise(v) for k, v in risks.items()}
 
 
 RISKS = ("predictability_risk", "uniformity_risk", "translationese_risk", "redundancy_risk")
@@ -51,18 +60,16 @@ def with_status(rows: DataFrame) -> DataFrame:
 
 def document_risks(features: DataFrame, key: str = "doc_id") -> DataFrame:
     """The four risks of each document, from word counts (no perplexities)."""
-    sums = with_status(features).groupBy(key).agg(*[v.alias(k) for k, v in _sums().items()])
+    sums = _body_only(with_status(features)).groupBy(key).agg(*[v.alias(k) for k, v in _sums().items()])
     return sums.select(key, F.col("_n").cast("long").alias("n_sentences"), *[v.alias(k) for k, v in _ratios().items()])
 
 
-def running_risks(features: DataFrame, key: str = "doc_id", order: str = "sent_idx") -> DataFrame:
-    """The four risks after each sentence; bibliography rows neither add to them nor are left out."""
-    rows = with_status(features)
-    if "is_bibliography" in rows.columns:
-        rows = rows.where("NOT is_bibliography")
+def running_risks(features: DataFrame, key: str = "doc_id", order: str = "sent_idx", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The four risks after each sentence; bibliography rows carry the last values (zero before the first body row)."""
+    rows = _body_only(with_status(features))
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = rows.select(key, order, *[v.alias(k) for k, v in _sums(w).items()])
-    return sums.select(key, order, *[v.alias(k) for k, v in _ratios().items()])
+    sums = rows.select(key, order, *keep, *[v.alias(k) for k, v in _sums(w).items()])
+    return sums.select(key, order, *keep, *[v.alias(k) for k, v in _ratios().items()])
 
 
 def perplexity_risks(rows: DataFrame, key: str, ppl_low: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veracol.functions import lexicons as lx
 from veracol.functions import text as t
-from veracol.operators import risk, sentences
+from veracol.operators import diagnosis, risk, sentences
 from veracol.plans.common import Catalog, table
 
 catalog = Catalog()
@@ -206,3 +206,32 @@ FROM x LEFT JOIN c ON c.d = discipline CROSS JOIN (SELECT * FROM c WHERE d = 'UN
 def calibration_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.lower("html").contains("art"), "ARTS_SPORTS").when(F.col("page_id") % 2 == 0, "COMPUTER_AI").otherwise("SCI_TECH")
     return calibrated(table(spark, sf_dir, "pages").select("page_id", kind.alias("discipline")))
+
+
+_KIND = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{d}'" for d, ws in lx.DISCIPLINE_KEYWORDS) + " ELSE 'UNIVERSAL' END"
+_EXPLAINED = " OR ".join(f"contains(lower(sentence), '{w}')" for w in lx.FORMULA_WORDS)
+
+
+def diagnosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of every sentence by the rule judge, with thresholds of the document's discipline."""
+    docs = table(spark, sf_dir, "documents")
+    kinds = docs.select("doc_id", "text", t.first_contained(F.lower("text"), lx.DISCIPLINE_KEYWORDS, lx.DEFAULT_DISCIPLINE).alias("discipline"))
+    rows = calibrated(kinds).withColumnRenamed("doc_id", "_doc")
+    split = rows.select(F.col("_doc").alias("doc_id"), "ppl_low", "ppl_high", "nv_ratio_max", F.posexplode(t.sentence_list(t.protect(F.col("text")))).alias("sent_idx", "sentence"))
+    return diagnosis.diagnosed(sentences.features(split, CLICHES, CONNECTORS))
+
+
+@catalog.add(
+    "diagnosis",
+    f"""WITH {FEATURES}, c(d, ppl_low, ppl_high, nv_ratio_max, passive_max) AS (VALUES {_CALIBRATION}), kinds AS (SELECT doc_id, {_KIND} AS d FROM documents),
+w AS (SELECT *, nv100 > 450 AS stacked, n_verbs = 0 AND n_words > 8 AS verbless, contains(sentence, '__PROTECTED_LATEX') AND NOT ({_EXPLAINED}) AS bare FROM feat JOIN kinds USING (doc_id) JOIN c USING (d)),
+r AS (SELECT *, CASE WHEN n_cliches > 0 OR nv100 / 100.0 > nv_ratio_max OR stacked OR verbless OR bare THEN 'judge' ELSE 'passed' END AS route FROM w),
+j AS (SELECT *, route = 'judge' AND n_words > {diagnosis.MOST_WORDS} AS judge_error,
+  CASE WHEN route <> 'judge' THEN NULL WHEN n_words > {diagnosis.MOST_WORDS} THEN 'json_parse_error' WHEN stacked THEN 'translationese_noun_stacking' WHEN verbless THEN 'translationese_verb_deficiency' WHEN bare THEN 'style_formula_unexplained' WHEN n_cliches > 0 THEN 'style_cliche' END AS issue_type FROM r),
+s AS (SELECT *, CASE WHEN judge_error OR issue_type IS NULL THEN 'passed' ELSE 'flagged' END AS status FROM j),
+sums AS (SELECT doc_id, sent_idx, route, status, issue_type, judge_error, {_summed('OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS UNBOUNDED PRECEDING)')},
+  CAST(count(*) FILTER (status = 'flagged') OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS f, CAST(count(*) FILTER (judge_error) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS UNBOUNDED PRECEDING) AS BIGINT) AS u FROM s)
+SELECT doc_id, sent_idx, route, status, issue_type, judge_error, 100 * CAST(f AS DOUBLE) / greatest(1, n - u) AS predictability_risk, {_RATIOS.split(',', 1)[1]} FROM sums""",
+)
+def diagnosis_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnosis.with_risks(diagnosed(spark, sf_dir))
