@@ -40,6 +40,15 @@ def top_k(queries: DataFrame, posts: DataFrame, scope: list[str], key: str, k: i
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "chunk_index", F.col("_score").cast("double").alias("score"))
 
 
+def top_k_or_first(queries: DataFrame, posts: DataFrame, chunks: DataFrame, key: str, k: int = 3) -> DataFrame:
+    """`top_k` over one corpus, where a query without terms gets the corpus's first k chunks with score 0."""
+    none = queries.where(F.size(t.tokens(F.coalesce("query", F.lit("")))) == 0).select("query_id")
+    first = chunks.select(key, "chunk_index").orderBy(key, "chunk_index").limit(k)
+    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(key, "chunk_index")))  # k rows
+    found = none.crossJoin(F.broadcast(ranked)).select("query_id", "rank", key, "chunk_index", F.lit(0.0).alias("score"))
+    return top_k(queries, posts, [], key, k).unionByName(found)
+
+
 def inverted(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, word, positions."""
     words = docs.select(key, F.posexplode(t.word_list(F.col(text))).alias("_p", "word"))
