@@ -94,8 +94,8 @@ def test_short_stretches_and_unclosed_heads():
 def test_tokens_without_a_twin_become_spans():
     chain = np.zeros((5, 5))
     chain[4, 4] = 5.0
-    text = "+1 (456) 5552186 145/655/52187 x9"
-    assert pii_crf.added_spans(text, pii_crf.base_spans(text), pii_crf.Field(np.zeros((pii_crf.N_FEATURES, 5)), chain, 0.0)) == [("phone", 17, 30)]
+    text = "+1 (456) 5552186, 145/655/52187 x9"
+    assert pii_crf.added_spans(text, pii_crf.base_spans(text), pii_crf.Field(np.zeros((pii_crf.N_FEATURES, 5)), chain, 0.0)) == [("phone", 18, 31)]
 
 
 def test_history_index_is_kept_and_extended(spark):
@@ -181,3 +181,26 @@ def test_large_groups_are_compared_whole(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
     monkeypatch.setattr(near_copies, "BLOCK_ROWS", 7)
     assert sorted(r.doc_id for r in near_copies.kept_documents(docs).collect()) == sorted(set(root))
+
+
+def test_a_batch_counts_once_whoever_publishes_it(spark, monkeypatch):
+    from veracol.llm import token_rollups
+
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 1), (2, None, None, None, 0)], SCHEMA)
+    deltas = token_rollups.deltas(token_rollups.counted(docs))
+    ledger = token_rollups.Ledger.new(spark)
+    # Both writers look before either has published.
+    with monkeypatch.context() as m:
+        seen, real = [], token_rollups.Ledger._published
+        m.setattr(token_rollups.Ledger, "_published", lambda self: {} if not seen.append(1) and len(seen) % 2 else real(self))
+        assert ledger.commit("b", deltas) and not ledger.commit("b", deltas)
+    once = {tuple(r) for r in ledger.totals().collect()}
+    assert sum(r[3] for r in once if r[2] == "words-1") == 2
+    # A draft of a lost writer is no batch; an attempt of a second one is not read.
+    files, path = ledger._files()
+    deltas.write.parquet(f"{ledger.path}/_draft-lost")
+    deltas.write.parquet(f"{ledger.path}/batch=b/attempt-99999999999999999999-late")
+    assert {tuple(r) for r in ledger.totals().collect()} == once
+    other = ledger.compact(f"{ledger.path}-compacted")
+    assert {tuple(r) for r in other.totals().collect()} == once
+

@@ -2,9 +2,9 @@
 
 Totals by source, language and tokenizer version are kept as a ledger of signed deltas. A batch (inserts,
 deletes and revised counts) is reduced to one additive row per group, then committed under its batch id. A
-batch id commits once: its rows are written to a folder of their own, which a rename publishes, and a rename
-onto a published batch fails, so that a batch that is delivered again, or run again after a lost driver,
-changes nothing. Totals are the sum over published batches.
+batch id counts once: its rows are written to a draft, which a rename publishes under a name that no other
+attempt has, and totals read one attempt of each id, so that a batch that is delivered again, by two writers at
+once, or after a lost driver, changes nothing. Totals are the sum over published batches.
 
 Defined cases: null or empty text counts 0 tokens; null source or lang is a group of its own; repeated rows
 count as often as they occur; an empty batch commits and adds nothing; only the named columns are read, so
@@ -13,6 +13,7 @@ extra columns cannot clash.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -80,25 +81,41 @@ class Ledger:
         path = jvm.org.apache.hadoop.fs.Path
         return path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
+    def _published(self) -> dict[str, list[str]]:
+        """The attempts of each batch id, first ones first."""
+        files, path = self._files()
+        found: dict[str, list[str]] = {}
+        for batch in files.listStatus(path(self.path)) if files.exists(path(self.path)) else []:
+            if batch.getPath().getName().startswith("batch="):
+                tries = [s.getPath().toString() for s in files.listStatus(batch.getPath()) if s.getPath().getName().startswith("attempt-")]
+                if tries:
+                    found[batch.getPath().getName().removeprefix("batch=")] = sorted(tries)
+        return found
+
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
-        """Publish a batch; False, and no change, where its id is published already."""
+        """Publish a batch; False, and no change, where its id is published already.
+
+        Rows are written to a draft, which one rename makes an attempt of the batch, under a name of its own. Of
+        writers that publish one id at a time each leaves a whole attempt, and totals read the first alone.
+        """
         files, path = self._files()
-        final, draft = path(f"{self.path}/batch={batch_id}"), path(f"{self.path}/_draft-{uuid.uuid4().hex}")
-        if files.exists(final):
+        if batch_id in self._published():
             return False
+        name = f"attempt-{time.time_ns():020d}-{uuid.uuid4().hex}"
+        draft, folder = path(f"{self.path}/_draft-{uuid.uuid4().hex}"), f"{self.path}/batch={batch_id}"
         deltas.select(*GROUP, *SUMS).write.parquet(draft.toString())
-        # Only the writer that creates the claim renames; a claim without its batch is left by a writer that
-        # was lost between the two, and the next one takes it over.
-        claim = path(f"{self.path}/_claim-{batch_id}")
-        first = files.createNewFile(claim)
-        done = (first or not files.exists(final)) and files.rename(draft, final)
-        files.delete(draft, True)
-        return done
+        files.mkdirs(path(folder))
+        own = path(f"{folder}/{name}")
+        if not files.rename(draft, own):
+            raise OSError(f"{draft} could not be renamed")
+        if self._published()[batch_id][0].rpartition("/")[2] == name:
+            return True
+        files.delete(own, True)
+        return False
 
     def totals(self) -> DataFrame:
         """The sum of all published batches by group; groups whose counts are all zero are left out."""
-        files, path = self._files()
-        published = [s.getPath().toString() for s in files.listStatus(path(self.path)) if s.getPath().getName().startswith("batch=")] if files.exists(path(self.path)) else []
+        published = [tries[0] for tries in self._published().values()]
         rows = self.spark.read.schema(SCHEMA).parquet(*published) if published else self.spark.createDataFrame([], SCHEMA)
         return rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs <> 0 OR n_tokens <> 0")
 
