@@ -15,8 +15,8 @@ PROTECTED = (
     ("LATEX", r"\$\$[\s\S]+?\$\$|\$[^$\n]+?\$"),
     ("REF", r"\[\s*\d+[\s,;\-–—\d]*\s*\]"),
 )
-#: Longest citation range that citation keys (and the SQL counterparts) expand; longer ones count as their two ends.
-LONGEST_RANGE = 1000
+#: Longest citation range that citation keys (and the SQL counterparts) expand within a row; longer ones count as their two ends.
+LONGEST_RANGE = 1_000_000
 
 
 def trimmed(c: Column) -> Column:

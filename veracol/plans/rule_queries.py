@@ -38,9 +38,9 @@ _NUMBERED = rf"flatten(list_transform(list_transform(regexp_split_to_array(k, '[
 _KEYS = rf"flatten(list_transform(list_transform(regexp_extract_all(sentence, '\[([^\]]+)\]', 1), lambda k: trim(k)), lambda k: CASE WHEN regexp_matches(k, '[a-zA-Zа-яА-ЯёЁ]') THEN {_NAMED} ELSE {_NUMBERED} END))"
 
 
-@catalog.add("citation_keys", f"WITH {SENTENCES.sql()} SELECT id, array_to_string({_KEYS}, '|') AS keys FROM s WHERE sentence IS NOT NULL AND id <> 6")
+@catalog.add("citation_keys", f"WITH {SENTENCES.sql()} SELECT id, array_to_string({_KEYS}, '|') AS keys FROM s WHERE sentence IS NOT NULL")
 def citation_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SENTENCES.df(spark).where("sentence IS NOT NULL AND id <> 6").select("id", F.array_join(citations.keys("sentence"), "|").alias("keys"))
+    return SENTENCES.df(spark).where("sentence IS NOT NULL").select("id", F.array_join(citations.keys("sentence"), "|").alias("keys"))
 
 
 def _header_sql() -> str:
