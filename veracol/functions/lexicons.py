@@ -71,17 +71,20 @@ SECTIONS = (
 )
 # Words that no title is told by.
 TITLE_STOP_WORDS = (
-    "the and for with from journal proceedings conference arxiv preprint volume issue pages editorial letter "
-    "analysis study research paper method methods using based"
-).split()
+    "the", "and", "for", "with", "from", "journal", "proceedings", "conference", "arxiv", "preprint", "volume",
+    "issue", "pages", "editorial", "letter", "analysis", "study", "research", "paper", "method", "methods", "using",
+    "based",
+)
 # Suffixes of the light stemmer.
 SUFFIXES = (
-    "ческого ческому ческих ческими ческом ческое ческая ческие ческий ческую ческой ующими ующего ующему ующих ующем "
-    "тельного тельному тельных тельным тельном ание ания анию анием ании ение ения ению ением ении "
-    "ать еть ить овать ывать ировать ского скому ских скими ском ного ному ных ным ном ное ная ные ный ную ной "
-    "ову ова ове овом овы ого ему ому ыми ями ях ом ой ей ем ах их ых ие ия ию ии ием ией иями иях "
-    "ое ая ее ый ий ые ов ев а е и й о у ы ь я"
-).split()
+    "ческого", "ческому", "ческих", "ческими", "ческом", "ческое", "ческая", "ческие", "ческий", "ческую", "ческой",
+    "ующими", "ующего", "ующему", "ующих", "ующем", "тельного", "тельному", "тельных", "тельным", "тельном", "ание",
+    "ания", "анию", "анием", "ании", "ение", "ения", "ению", "ением", "ении", "ать", "еть", "ить", "овать", "ывать",
+    "ировать", "ского", "скому", "ских", "скими", "ском", "ного", "ному", "ных", "ным", "ном", "ное", "ная", "ные",
+    "ный", "ную", "ной", "ову", "ова", "ове", "овом", "овы", "ого", "ему", "ому", "ыми", "ями", "ях", "ом", "ой",
+    "ей", "ем", "ах", "их", "ых", "ие", "ия", "ию", "ии", "ием", "ией", "иями", "иях", "ое", "ая", "ее", "ый", "ий",
+    "ые", "ов", "ев", "а", "е", "и", "й", "о", "у", "ы", "ь", "я",
+)
 
 
 def specialties() -> list[dict]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\p{Z}]"
 #: Neither letter, digit nor underscore: a word boundary that means the same for every script and engine.
 EDGE = r"[^\p{L}\p{N}_]"
-#: Ordered protections: name and pattern of the spans that style rules must not see.
+# Ordered protections, name and pattern of the spans that style rules must not see.
 PROTECTED = (
     ("LATEX", r"\$\$[\s\S]+?\$\$|\$[^$\n]+?\$"),
     ("REF", r"\[\s*\d+[\s,;\-–—\d]*\s*\]"),
