@@ -268,7 +268,7 @@ def test_bibliography_rows_carry_the_last_risks(spark):
     rows = [(d, i, s) for d in (1, 2) for i, s in enumerate(text)]
     df = sentences.features(spark.createDataFrame(rows, "doc_id long, sent_idx int, sentence string"), ("of the",), ())
     df = df.withColumn("is_bibliography", F.expr("CASE WHEN doc_id = 1 THEN sent_idx > 1 ELSE sent_idx <> 1 END")).withColumn("is_flagged", F.expr("sent_idx <> 1"))
-    got = {(r.doc_id, r.sent_idx): r for r in risk.running_risks(df).collect()}
+    got = {(r.doc_id, r.sent_idx): r for r in risk.running_risks(df, carry=True).collect()}
     assert len(got) == 8
     assert [got[1, i].predictability_risk for i in range(4)] == [100.0, 50.0, 50.0, 50.0]
     assert tuple(got[1, 3])[2:] == tuple(got[1, 1])[2:] and tuple(got[2, 0])[2:] == (0.0,) * 4

@@ -51,4 +51,4 @@ def diagnosed(features: DataFrame, judge: Judge = rule_judge) -> DataFrame:
 def with_risks(results: DataFrame, key: str = "doc_id", order: str = "sent_idx") -> DataFrame:
     """Results with the document's risks after each of them."""
     flags = results.withColumn("is_flagged", F.col("status") == "flagged").withColumn("is_unjudged", F.col("judge_error"))
-    return risk.running_risks(flags, key, order, keep=("route", "status", "issue_type", "judge_error"))
+    return risk.running_risks(flags, key, order, keep=("route", "status", "issue_type", "judge_error"), carry=True)

@@ -20,7 +20,7 @@ def _sums(over=None) -> dict[str, Column]:
         "n": F.count("n_tokens"),
         "words": F.sum("n_tokens"),
         "words2": F.sum(F.expr("n_tokens * n_tokens")),
-        "excess": F.sum(excess),
+        "excess": F.sum(F.when(F.col("n_tokens").isNotNull(), excess)),
         "redundant": F.sum(redundant().cast("long")),
         "flagged": F.sum(F.col("is_flagged").cast("long")),
         "unjudged": F.sum(F.col("is_unjudged").cast("long")),
@@ -64,9 +64,12 @@ def document_risks(features: DataFrame, key: str = "doc_id") -> DataFrame:
     return sums.select(key, F.col("_n").cast("long").alias("n_sentences"), *[v.alias(k) for k, v in _ratios().items()])
 
 
-def running_risks(features: DataFrame, key: str = "doc_id", order: str = "sent_idx", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The four risks after each sentence; bibliography rows carry the last values (zero before the first body row)."""
+def running_risks(features: DataFrame, key: str = "doc_id", order: str = "sent_idx", keep: tuple[str, ...] = (), carry: bool = False) -> DataFrame:
+    """The four risks after each body sentence; with `carry` bibliography rows stay and carry the last values (zero
+    before the first body row)."""
     rows = _body_only(with_status(features))
+    if "is_bibliography" in rows.columns and not carry:
+        rows = rows.where("NOT is_bibliography")
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.select(key, order, *keep, *[v.alias(k) for k, v in _sums(w).items()])
     return sums.select(key, order, *keep, *[v.alias(k) for k, v in _ratios().items()])
