@@ -12,8 +12,9 @@ messages; the hub is a variable of the field with a label of its own.
 
 All weights, that of the skip factors too, maximise the pseudo-likelihood of a bounded sample of documents: texts
 with evidence, labelled by their base spans, and for half of them a version into which one of their spans is
-written again in a form that the patterns miss (12.34... for 12 34...), which keeps its label. So the weights say
-how much a twin tells about a unit that no pattern finds.
+written again in a form that the patterns miss (12.34... for 12 34...), which keeps its label; for the others a version
+with such a form of another text's phone number, which without a twin is OTHER. So the weights say how much a twin
+tells about a unit that no pattern finds.
 
 Defined cases: null or empty text has no spans; texts of any length are read whole, in time that grows with
 their length; equal texts get equal spans; offsets count code points, ends are exclusive; an empty table gives an
@@ -326,10 +327,14 @@ def fit_texts(texts: list[str]) -> Field:
     """Weights by pseudo-likelihood: each label given its features, its neighbours' labels and its twins' labels
     (summed over the label of their hub)."""
     k = len(LABELS)
-    docs, room = [], TRAIN_UNITS
+    docs, room, stray = [], TRAIN_UNITS, ""
     for turn, text in enumerate(texts):
         base = base_spans(text)
-        for doc in (read(text, base), _with_repeat(text, base, turn // 2) if turn % 2 else None):
+        other = _with_repeat(text, base, turn // 2) if turn % 2 else read(f"{text} {stray}", base) if stray else None
+        stray = stray if turn % 2 else ""
+        phones = [text[a:b] for kind, a, b in base if kind == "phone"]
+        stray = disguised("phone", phones[0], turn) if phones else stray
+        for doc in (read(text, base), other):
             if doc is not None and room > 0:
                 room -= len(doc.label)
                 docs.append(doc)
