@@ -297,7 +297,7 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by text, so that texts of one doc_id, or of none, all stay; rows of one text that
     repeat the winner's doc_id are reduced to one. What goes is found on ids and digests alone, so that whole
-    documents meet only the list of losers, and are shuffled only where that is too long to broadcast.
+    documents are shuffled once, to meet the list of losers.
     """
     rows = written(digested(docs), "digests")
     repeated = _resolved(rows, None, None)
@@ -305,7 +305,8 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     pairs = written(pairs.select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"), F.col("doc_id").eqNullSafe(F.col("_winner")).alias("_wins"), "_rows"), "repeated_ids")
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.unhex(digest(text_or_empty())).alias("_text"))
     same = (F.col("_text") == F.col("_digest")) & F.col("_doc").eqNullSafe(F.col("_id"))
-    kept = whole.join(pairs.where("NOT _wins OR _rows > 1"), same, "left_anti")
+    # The list of losers grows with the input: a sort-merge join at every size.
+    kept = whole.join(pairs.where("NOT _wins OR _rows > 1").hint("merge"), same, "left_anti")
     tied = pairs.where("_wins AND _rows > 1")
     if not tied.isEmpty():
         kept = kept.unionByName(whole.join(tied, same, "left_semi").dropDuplicates(["_text"]))
