@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracol.llm import byte_bpe, chat_format, line_blocks, merkle_manifest, mph_dedup, pii_crf, quality_rules, simhash_gray, source_mixing, token_rollups, toxicity
+from veracol.llm import byte_bpe, chat_format, filter_audit, line_blocks, merkle_manifest, mph_dedup, pii_crf, quality_rules, simhash_gray, source_mixing, token_rollups, toxicity
 from veracol.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verified(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_simhash_gray": op9_simhash_gray,
     "op10_source_mixing": op10_source_mixing,
+    "op11_filter_audit": op11_filter_audit,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -82,6 +87,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": quality_rules.oracle(),
     "op7_mph_dedup": mph_dedup.ORACLE,
     "op10_source_mixing": source_mixing.ORACLE,
+    "op11_filter_audit": filter_audit.ORACLE,
     "op13_merkle_manifest": merkle_manifest.oracle(),
 }
 
