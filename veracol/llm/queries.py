@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracol.llm import byte_bpe, chat_format, filter_audit, line_blocks, merkle_manifest, mph_dedup, pii_crf, quality_rules, simhash_gray, source_mixing, token_rollups, toxicity
+from veracol.llm import byte_bpe, chat_format, filter_audit, line_blocks, line_quality, merkle_manifest, mph_dedup, pii_crf, quality_rules, simhash_gray, source_mixing, token_rollups, toxicity
 from veracol.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verified(table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash_gray": op9_simhash_gray,
     "op10_source_mixing": op10_source_mixing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_line_quality": op12_line_quality,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
