@@ -8,34 +8,58 @@ from pyspark.sql import functions as F
 from veracol.functions.lexicons import BIBLIOGRAPHY_HEADERS
 from veracol.functions.text import LONGEST_RANGE, header_place
 
+# The grammar of brackets, ranges and list entries.
 LETTER = "[a-zA-Zа-яА-ЯёЁ]"
-_RANGE = r"^(\\d{1,18})\\s*[-–—]\\s*(\\d{1,18})$"
-#: A part of a bracket as intervals: a range's ends, or the given else.
-_INTERVALS = (
-    "CASE WHEN p RLIKE '{r}' THEN transform(array(named_struct('a', CAST(regexp_extract(p, '{r}', 1) AS BIGINT), 'b', CAST(regexp_extract(p, '{r}', 2) AS BIGINT))), x -> "
-    "CASE WHEN x.a > x.b THEN array() ELSE array(x) END)[0] ELSE {other} END"
-)
+RANGE = r"^(\d+)\s*[-–—]\s*(\d+)$"
+BRACKET = r"\[\s*(\d+[\s,;\-–—\d]*)\s*\]"
+LISTED = r"(?:^|\n)\s*(?:\[(\d+)\]|(\d+)\.\s+)"
+#: Citation numbers: up to 38 digits; longer runs of digits are none.
+NUMBER = "decimal(38,0)"
+#: Numbers of a range that one row expands to at once.
+SLICE = 10_000
 
 
-def _intervals(other: str) -> str:
-    return _INTERVALS.format(r=_RANGE, other=other)
+def _lit(pattern: str) -> str:
+    return "r'" + pattern + "'"
 
 
-def keys(sentence: str) -> Column:
-    """Citation keys of a column's brackets, in order, with repeats."""
-    named = f"filter(transform(split(k, ';'), p -> lower(regexp_replace(p, '[^a-zA-Zа-яА-ЯёЁ0-9]', ''))), p -> p <> '')"
-    digits = "CASE WHEN regexp_replace(p, '\\\\D', '') = '' THEN array() ELSE array(regexp_replace(p, '\\\\D', '')) END"
-    ends = f"CASE WHEN x.b - x.a > {LONGEST_RANGE} THEN array(x.a, x.b) ELSE sequence(x.a, x.b) END"
-    part = (
-        f"CASE WHEN p RLIKE '{_RANGE}' THEN flatten(transform({_intervals('array()')}, x -> transform({ends}, n -> CAST(n AS STRING)))) ELSE {digits} END"
-    )
-    numbered = f"flatten(transform(transform(split(k, '[,;]'), p -> trim(p)), p -> {part}))"
+def _ends(p: str, other: str) -> str:
+    """SQL for the ends (a, b) of a part of a bracket, as an array of none or one."""
+    a, b = (f"try_cast(regexp_extract({p}, {_lit(RANGE)}, {i}) AS {NUMBER})" for i in (1, 2))
+    return f"CASE WHEN {p} RLIKE {_lit(RANGE)} THEN filter(array(named_struct('a', {a}, 'b', {b})), x -> x.a <= x.b) ELSE {other} END"
+
+
+def _brackets(sentence: str, each_named: str, each_numbered: str) -> Column:
+    """An array of what the column's brackets give: expressions of k (a bracket's content) and of p (a part of it)."""
+    parts = "transform(split(k, '[,;]'), p -> regexp_replace(p, r'^\\s+|\\s+$', ''))"
     return F.expr(
         f"flatten(transform(transform(regexp_extract_all({sentence}, '\\\\[([^\\\\]]+)\\\\]', 1), k -> trim(k)), "
-        f"k -> CASE WHEN k RLIKE '{LETTER}' THEN {named} ELSE {numbered} END))"
+        f"k -> CASE WHEN k RLIKE '{LETTER}' THEN {each_named} ELSE flatten(transform({parts}, p -> {each_numbered})) END))"
     )
 
 
+_NAMES = "filter(transform(split(k, ';'), p -> lower(regexp_replace(p, '[^a-zA-Zа-яА-ЯёЁ0-9]', ''))), p -> p <> '')"
+_DIGITS = "CASE WHEN regexp_replace(p, r'\\D', '') = '' THEN array() ELSE array(regexp_replace(p, r'\\D', '')) END"
+
+
+def keys(sentence: str) -> Column:
+    """Citation keys of a column's brackets as text, in order, with repeats.
+
+    For display: a range of more than LONGEST_RANGE numbers is named by its two ends. `key_ranges` has all of it.
+    """
+    ends = f"CASE WHEN x.b - x.a > {LONGEST_RANGE} THEN array(x.a, x.b) ELSE transform(sequence(0, CAST(x.b - x.a AS INT)), i -> CAST(x.a + i AS {NUMBER})) END"
+    numbered = f"CASE WHEN p RLIKE {_lit(RANGE)} THEN flatten(transform({_ends('p', 'array()')}, x -> transform({ends}, n -> CAST(n AS STRING)))) ELSE {_DIGITS} END"
+    return _brackets(sentence, _NAMES, numbered)
+
+
+def key_ranges(sentence: str) -> Column:
+    """What a column's brackets cite, in order: names as key, numbers and ranges (of any length) as low and high."""
+    named = f"transform({_NAMES}, n -> named_struct('key', n, 'low', CAST(NULL AS {NUMBER}), 'high', CAST(NULL AS {NUMBER})))"
+    pair = "named_struct('key', CAST(NULL AS STRING), 'low', x.a, 'high', x.b)"
+    single = f"filter(transform({_DIGITS}, d -> named_struct('a', try_cast(d AS {NUMBER}), 'b', try_cast(d AS {NUMBER}))), x -> x.a IS NOT NULL)"
+    return _brackets(sentence, named, f"transform({_ends('p', single)}, x -> {pair})")
+
+
 def _cut(docs: DataFrame, key: str, text: str) -> DataFrame:
     at = header_place(F.col(text), BIBLIOGRAPHY_HEADERS)
     df = docs.select(key, F.col(text).alias("_t"), at.alias("_at"))
@@ -44,29 +68,47 @@ def _cut(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def cited_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, low, high: the intervals of numbers cited before the bibliography."""
-    brackets = F.expr("regexp_extract_all(_body, '\\\\[\\\\s*(\\\\d+[\\\\s,;\\\\-–—\\\\d]*)\\\\s*\\\\]', 1)")
-    single = "CASE WHEN p RLIKE '^\\\\d{1,18}$' THEN array(named_struct('a', CAST(p AS BIGINT), 'b', CAST(p AS BIGINT))) ELSE array() END"
-    ranges = F.expr(f"flatten(transform(_b, b -> flatten(transform(transform(split(b, '[,;]'), p -> trim(p)), p -> {_intervals(single)}))))")
-    rows = _cut(docs, key, text).select(key, brackets.alias("_b")).select(key, F.explode(ranges).alias("_r"))
-    return rows.select(key, F.col("_r.a").alias("low"), F.col("_r.b").alias("high")).distinct()
+    """key, low, high: the intervals of numbers cited before the bibliography, merged, so that none touches another."""
+    part = F.regexp_replace("_p", r"^\s+|\s+$", "")
+    rows = _cut(docs, key, text).select(key, F.explode(F.regexp_extract_all("_body", F.lit(BRACKET), 1)).alias("_b"))
+    rows = rows.select(key, F.explode(F.split("_b", "[,;]")).alias("_p")).select(key, part.alias("_p"))
+    alone = f"CASE WHEN _p RLIKE r'^\\d+$' THEN filter(array(named_struct('a', try_cast(_p AS {NUMBER}), 'b', try_cast(_p AS {NUMBER}))), x -> x.a IS NOT NULL) ELSE array() END"
+    return merged(rows.select(key, F.explode(F.expr(_ends("_p", alone))).alias("_r")).select(key, F.col("_r.a").alias("low"), F.col("_r.b").alias("high")), key)
+
+
+def merged(ranges: DataFrame, key: str) -> DataFrame:
+    """Intervals of each key joined where they overlap or follow one another: one sort, one pass."""
+    seen = Window.partitionBy(key).orderBy("low", "high")
+    before = F.max("high").over(seen.rowsBetween(Window.unboundedPreceding, -1))
+    opens = before.isNull() | (F.col("low") > before + 1)
+    rows = ranges.distinct().withColumn("_opens", opens.cast("int")).withColumn("_run", F.sum("_opens").over(seen.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(key, "_run").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("_run")
 
 
-def _members(ranges: DataFrame, key: str) -> DataFrame:
-    return ranges.select(key, F.explode(F.sequence("low", "high")).alias("number")).distinct()
+def expanded(ranges: DataFrame) -> DataFrame:
+    """One row a number, as column `number` in place of low and high: for the sink, since it is as long as the ranges.
+
+    Rows come slice by slice, so that no row holds more than SLICE numbers.
+    """
+    others = [c for c in ranges.columns if c not in ("low", "high")]
+    last = f"CAST(floor((high - low) / {SLICE}) AS BIGINT)"
+    # Slices of slices, as a sequence is limited as well.
+    outer = ranges.selectExpr(*others, "low", "high", f"explode(sequence(0L, CAST(floor({last} / {SLICE}) AS BIGINT))) AS _o")
+    inner = outer.selectExpr(*others, "low", "high", "_o", f"explode(sequence(_o * {SLICE}, least(_o * {SLICE} + {SLICE - 1}, {last}))) AS _s")
+    first = inner.selectExpr(*others, "high", f"CAST(low + CAST(_s AS {NUMBER}) * {SLICE} AS {NUMBER}) AS _first")
+    return first.selectExpr(*others, "_first", f"explode(sequence(0, CAST(least({SLICE - 1}, high - _first) AS INT))) AS _i").selectExpr(*others, f"CAST(_first + _i AS {NUMBER}) AS number")
 
 
 def cited_numbers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, number: the numbers cited before the bibliography."""
-    return _members(cited_ranges(docs, key, text), key)
+    """key, number: the numbers cited before the bibliography, one by one."""
+    return expanded(cited_ranges(docs, key, text))
 
 
 def listed_numbers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, number: the numbers that the bibliography lists."""
-    pattern = r"(?:^|\n)\s*(?:\[(\d{1,18})\]|(\d{1,18})\.\s+)"
-    found = F.concat(*[F.regexp_extract_all("_tail", F.lit(pattern), i) for i in (1, 2)])
+    found = F.concat(*[F.regexp_extract_all("_tail", F.lit(LISTED), i) for i in (1, 2)])
     rows = _cut(docs, key, text).where("_tail IS NOT NULL").select(key, F.explode(F.filter(found, lambda x: x != "")).alias("n"))
-    return rows.select(key, F.col("n").cast("long").alias("number")).distinct()
+    return rows.select(key, F.expr(f"try_cast(n AS {NUMBER})").alias("number")).where("number IS NOT NULL").distinct()
 
 
 def bibliography(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -88,16 +130,33 @@ def bibliography(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return entries.groupBy(key, "entry_key").agg(F.max_by("entry", "_e").alias("entry"))
 
 
-def integrity(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Warnings of documents that have a bibliography: numbers cited but not listed, and listed but not cited."""
+def integrity_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Warnings of documents that have a bibliography, as intervals: numbers cited but not listed, and listed but not cited.
+
+    `index` is that of an interval's first number: warnings count down from -1 by type and number. Intervals and listed
+    numbers of a document are swept in one order, so that a range costs one row, however many numbers it spans.
+    """
     ranges, listed = cited_ranges(docs, key, text), listed_numbers(docs, key, text)
-    with_list = listed.select(key).distinct()
-    missing = _members(ranges.join(with_list, key, "left_semi"), key).join(listed, [key, "number"], "left_anti").select(key, "number", F.lit("citation_missing_bibliography").alias("issue_type"), F.lit("high").alias("severity"))
-    spans = ranges.select(F.col(key).alias("_key"), "low", "high")
-    inside = (F.col(key) == F.col("_key")) & F.col("number").between(F.col("low"), F.col("high"))
-    unused = listed.join(spans, inside, "left_anti").select(key, "number", F.lit("citation_unused_bibliography").alias("issue_type"), F.lit("low").alias("severity"))
-    order = Window.partitionBy(key).orderBy("issue_type", "number")
-    return missing.unionByName(unused).withColumn("index", (-F.row_number().over(order)).cast("int"))
+    none = F.lit(None).cast(NUMBER)
+    both = ranges.select(key, F.col("low").alias("_at"), F.lit(0).alias("_kind"), "low", "high").unionByName(listed.select(key, F.col("number").alias("_at"), F.lit(1).alias("_kind"), none.alias("low"), none.alias("high")))
+    doc = Window.partitionBy(key)
+    sweep = doc.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumns({"low": F.last("low", ignorenulls=True).over(sweep), "high": F.last("high", ignorenulls=True).over(sweep), "_lists": F.max("_kind").over(doc)}).where("_lists = 1")
+    rows = rows.withColumn("_inside", F.coalesce(F.col("_at") <= F.col("high"), F.lit(False)))
+    unused = rows.where("_kind = 1 AND NOT _inside").select(key, F.col("_at").alias("low"), F.col("_at").alias("high"), F.lit("citation_unused_bibliography").alias("issue_type"), F.lit("low").alias("severity"))
+    # Within an interval each row opens a gap that ends before the next listed number.
+    within = rows.where("_inside").withColumn("_next", F.lead("_at").over(Window.partitionBy(key, "low").orderBy("_at", "_kind")))
+    gap = within.select(key, F.when(F.col("_kind") == 0, F.col("low")).otherwise(F.col("_at") + 1).cast(NUMBER).alias("_from"), F.coalesce(F.col("_next") - 1, F.col("high")).cast(NUMBER).alias("_to")).where("_from <= _to")
+    missing = gap.select(key, F.col("_from").alias("low"), F.col("_to").alias("high"), F.lit("citation_missing_bibliography").alias("issue_type"), F.lit("high").alias("severity"))
+    order = doc.orderBy("issue_type", "low").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("high") - F.col("low") + 1).over(order), F.lit(0))
+    return missing.unionByName(unused).withColumn("index", (-before - 1).cast(NUMBER))
+
+
+def integrity(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same warnings, a row for each number."""
+    rows = integrity_ranges(docs, key, text).withColumnRenamed("index", "_top").withColumn("_low", F.col("low"))
+    return expanded(rows).withColumn("index", F.expr(f"CAST(_top - (number - _low) AS {NUMBER})")).select(key, "number", "issue_type", "severity", "index")
 
 
 def resolved(requests: DataFrame, local: DataFrame, cache: DataFrame, bibtex: DataFrame, entries: DataFrame) -> DataFrame:

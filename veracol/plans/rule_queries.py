@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veracol.functions import lexicons as lx
 from veracol.functions import text as t
 from veracol.operators import citations, classify, verdict
-from veracol.plans.common import Catalog, Rows, sql_list
+from veracol.plans.common import Catalog, Rows, sql_list, table
 from veracol.plans.text_queries import FEATURES, features
 
 catalog = Catalog()
@@ -23,6 +23,7 @@ DOCS = Rows("d", "doc_id long, text string", [
     (1, "Text cites [1] and [3].\nReferences\n1. First entry\n2. Second entry"),
     (2, "Cites [1, 2].\nСписок литературы\n[1] Иванов И. Книга\n  continued here\n[2] Petrov\n[1] Later entry"),
     (3, "Cites [1], no list."), (4, "[1], [2, 3] and [5–7]\nЛитература\n1. A\n2. B\n3. C\n9. D"), (5, ""), (6, "My preferences are [2]: 4. no"),
+    (7, "Cites [1-3000000000], [2-9], [7-5] and [3000000002].\nReferences\n4. D\n4000000000. Far\n5. E"), (8, "[5-999999999999999999999] and [9,\n11]\nReferences\n1. A\n[1234567890123456789012] B"),
 ])
 
 _RANGE = r"^(\d{1,18})\s*[-–—]\s*(\d{1,18})$"
@@ -50,18 +51,26 @@ def _header_sql() -> str:
 
 _CUT = f"""{DOCS.sql()}, h AS (SELECT *, {_header_sql()} AS place FROM d),
 cut AS (SELECT doc_id, CASE WHEN place < 0 THEN text ELSE substr(text, 1, place) END AS body, CASE WHEN place >= 0 THEN substr(text, place + 1) END AS tail FROM h)"""
-_CITED = rf"""cited AS (SELECT DISTINCT doc_id, unnest(flatten(list_transform(regexp_extract_all(body, '\[\s*(\d+[\s,;\-–—\d]*)\s*\]', 1), lambda k: flatten(list_transform(list_transform(regexp_split_to_array(k, '[,;]'), lambda p: trim(p)), lambda p: {_expand(r"CASE WHEN regexp_matches(p, '^\d{1,18}$') THEN [CAST(p AS BIGINT)] ELSE [] END")}))))) AS number FROM cut)"""
-_LISTED = r"""listed AS (SELECT DISTINCT doc_id, CAST(n AS BIGINT) AS number FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(tail, '(?:^|\n)\s*(?:\[(\d{1,18})\]|(\d{1,18})\.\s+)', 1), regexp_extract_all(tail, '(?:^|\n)\s*(?:\[(\d{1,18})\]|(\d{1,18})\.\s+)', 2))) AS n FROM cut WHERE tail IS NOT NULL) WHERE n <> '')"""
+_CITED = r"""parts AS (SELECT doc_id, trim(unnest(regexp_split_to_array(k, '[,;]')), E' \t\n\r') AS p FROM (SELECT doc_id, unnest(regexp_extract_all(body, '\[\s*(\d+[\s,;\-–—\d]*)\s*\]', 1)) AS k FROM cut)),
+ends AS (SELECT DISTINCT doc_id, CAST(regexp_extract(p, '^\d+') AS HUGEINT) AS a, CAST(regexp_extract(p, '\d+$') AS HUGEINT) AS b FROM parts WHERE regexp_matches(p, '^\d+(\s*[-–—]\s*\d+)?$')),
+runs AS (SELECT *, sum(CAST(gap AS INT)) OVER (PARTITION BY doc_id ORDER BY a, b) AS run FROM (SELECT *, coalesce(a > 1 + max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS gap FROM ends WHERE a <= b)),
+cited AS (SELECT doc_id, min(a) AS low, max(b) AS high FROM runs GROUP BY doc_id, run)"""
+_LISTED = r"""listed AS (SELECT DISTINCT doc_id, CAST(n AS HUGEINT) AS number FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(tail, '(?:^|\n)\s*(?:\[(\d+)\]|(\d+)\.\s+)', 1), regexp_extract_all(tail, '(?:^|\n)\s*(?:\[(\d+)\]|(\d+)\.\s+)', 2))) AS n FROM cut WHERE tail IS NOT NULL) WHERE n <> '')"""
 
 
-@catalog.add("body_citations", f"WITH {_CUT}, {_CITED} SELECT * FROM cited")
+def _as_text(df: DataFrame, *columns: str) -> DataFrame:
+    """Numbers of any length as text, which reads alike everywhere."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+@catalog.add("body_citations", f"WITH {_CUT}, {_CITED} SELECT doc_id, CAST(low AS VARCHAR) AS low, CAST(high AS VARCHAR) AS high FROM cited")
 def body_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.cited_numbers(DOCS.df(spark))
+    return _as_text(citations.cited_ranges(DOCS.df(spark)), "low", "high")
 
 
-@catalog.add("bibliography_numbers", f"WITH {_CUT}, {_LISTED} SELECT * FROM listed")
+@catalog.add("bibliography_numbers", f"WITH {_CUT}, {_LISTED} SELECT doc_id, CAST(number AS VARCHAR) AS number FROM listed")
 def bibliography_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.listed_numbers(DOCS.df(spark))
+    return _as_text(citations.listed_numbers(DOCS.df(spark)), "number")
 
 
 _START = r"^\s*(?:\[([a-zA-Z0-9_.-]+)\]|([0-9]+)\.\s+)"
@@ -80,15 +89,37 @@ def bibliography_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.bibliography(DOCS.df(spark))
 
 
-@catalog.add(
-    "citation_integrity",
-    f"""WITH {_CUT}, {_CITED}, {_LISTED},
-w AS (SELECT doc_id, number, 'citation_missing_bibliography' AS issue_type, 'high' AS severity FROM (SELECT * FROM cited WHERE doc_id IN (SELECT doc_id FROM listed) EXCEPT SELECT * FROM listed)
-UNION ALL SELECT doc_id, number, 'citation_unused_bibliography', 'low' FROM (SELECT * FROM listed EXCEPT SELECT * FROM cited))
-SELECT *, CAST(-row_number() OVER (PARTITION BY doc_id ORDER BY issue_type, number) AS INTEGER) AS index FROM w""",
-)
+#: Of each interval the stretches between listed numbers, and listed numbers in no interval.
+_WARNED = """edges AS (SELECT c.doc_id, c.low AS start, c.low - 1 AS e FROM cited c UNION SELECT c.doc_id, c.low, c.high + 1 FROM cited c UNION SELECT c.doc_id, c.low, l.number FROM cited c JOIN listed l ON l.doc_id = c.doc_id AND l.number BETWEEN c.low AND c.high),
+stretches AS (SELECT doc_id, e + 1 AS low, lead(e) OVER (PARTITION BY doc_id, start ORDER BY e) - 1 AS high FROM edges WHERE doc_id IN (SELECT doc_id FROM listed)),
+w AS (SELECT doc_id, low, high, 'citation_missing_bibliography' AS issue_type, 'high' AS severity FROM stretches WHERE low <= high
+UNION ALL SELECT doc_id, number, number, 'citation_unused_bibliography', 'low' FROM listed l WHERE NOT EXISTS (SELECT 1 FROM cited c WHERE c.doc_id = l.doc_id AND l.number BETWEEN c.low AND c.high))
+SELECT doc_id, CAST(low AS VARCHAR) AS low, CAST(high AS VARCHAR) AS high, issue_type, severity, CAST(-1 - coalesce(CAST(sum(CAST(high - low + 1 AS DECIMAL(38, 0))) OVER (PARTITION BY doc_id ORDER BY issue_type, low ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS HUGEINT), 0) AS VARCHAR) AS index FROM w"""
+
+
+@catalog.add("citation_integrity", f"WITH {_CUT}, {_CITED}, {_LISTED}, {_WARNED}")
 def citation_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.integrity(DOCS.df(spark))
+    return _as_text(citations.integrity_ranges(DOCS.df(spark)), "low", "high", "index")
+
+
+_LINES = """concat('Parts [', l_linenumber, '], [', l_linenumber * 3, '-', l_linenumber * 3 + l_suppkey % 5, ';', l_partkey % 40, ' – ', l_partkey % 37, ']')"""
+_ENTRIES = "concat(l_suppkey % 30, '. Supplier ', l_suppkey)"
+
+
+def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each order: its lines cite numbers and ranges, its list names suppliers. Every third has no list."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_LINES} AS said", f"{_ENTRIES} AS entry")
+    texts = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "said", "entry"))).alias("l"))
+    text = F.concat(F.array_join(F.transform("l", lambda x: x.said), ".\n"), F.when(F.col("l_orderkey") % 3 != 0, F.concat(F.lit(".\nReferences\n"), F.array_join(F.transform("l", lambda x: x.entry), "\n"))).otherwise(""))
+    return texts.select(F.col("l_orderkey").alias("doc_id"), text.alias("text"))
+
+
+_ORDER_TEXTS = f"""d AS (SELECT l_orderkey AS doc_id, concat(string_agg({_LINES}, E'.\n' ORDER BY l_linenumber), CASE WHEN l_orderkey % 3 <> 0 THEN concat(E'.\nReferences\n', string_agg({_ENTRIES}, E'\n' ORDER BY l_linenumber)) ELSE '' END) AS text FROM lineitem GROUP BY l_orderkey)"""
+
+
+@catalog.add("order_citation_integrity", f"WITH {_ORDER_TEXTS}, {_CUT.split(DOCS.sql() + ', ')[1]}, {_CITED}, {_LISTED}, {_WARNED}")
+def order_citation_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_text(citations.integrity_ranges(order_texts(spark, sf_dir)), "low", "high", "index")
 
 
 REQUESTS = Rows("req", "id long, key string", [(1, "A1"), (2, "b2"), (3, "c3"), (4, "d4"), (5, "e5"), (6, "B2"), (7, "f6")])
