@@ -188,19 +188,57 @@ def test_a_batch_counts_once_whoever_publishes_it(spark, monkeypatch):
 
     docs = spark.createDataFrame([(1, "a b", "en", "s", 1), (2, None, None, None, 0)], SCHEMA)
     deltas = token_rollups.deltas(token_rollups.counted(docs))
+    thrice = token_rollups.deltas(token_rollups.counted(docs.union(docs).union(docs)))
     ledger = token_rollups.Ledger.new(spark)
-    # Both writers look before either has published.
+    # Both writers look before either has published; the second one comes late with other rows.
     with monkeypatch.context() as m:
-        seen, real = [], token_rollups.Ledger._published
-        m.setattr(token_rollups.Ledger, "_published", lambda self: {} if not seen.append(1) and len(seen) % 2 else real(self))
-        assert ledger.commit("b", deltas) and not ledger.commit("b", deltas)
-    once = {tuple(r) for r in ledger.totals().collect()}
+        m.setattr(token_rollups.Ledger, "holds", lambda self, batch_id: False)
+        assert ledger.commit("b", deltas)
+        once = {tuple(r) for r in ledger.totals().collect()}
+        assert not ledger.commit("b", thrice)
+    assert {tuple(r) for r in ledger.totals().collect()} == once
     assert sum(r[3] for r in once if r[2] == "words-1") == 2
-    # A draft of a lost writer is no batch; an attempt of a second one is not read.
-    files, path = ledger._files()
-    deltas.write.parquet(f"{ledger.path}/_draft-lost")
-    deltas.write.parquet(f"{ledger.path}/batch=b/attempt-99999999999999999999-late")
+    # Rows of a lost writer, from before or after, are of no batch.
+    deltas.write.parquet(f"{ledger.path}/data/attempt=00000000000000000000")
+    deltas.write.parquet(f"{ledger.path}/data/attempt=zzzzzzzzzzzzzzzzzzzz")
     assert {tuple(r) for r in ledger.totals().collect()} == once
     other = ledger.compact(f"{ledger.path}-compacted")
     assert {tuple(r) for r in other.totals().collect()} == once
 
+
+def test_compacting_keeps_the_ids(spark):
+    from veracol.llm import token_rollups
+
+    deltas = token_rollups.deltas(token_rollups.counted(spark.createDataFrame([(1, "a b c", "en", "s", 1)], SCHEMA)))
+    ledger = token_rollups.Ledger.new(spark)
+    names = ["b1", "of / some % kind + é", "_hidden", ".dot", "x" * 400, ""]
+    assert all(ledger.commit(n, deltas) and not ledger.commit(n, deltas) for n in names)
+    assert {r.batch_id for r in ledger.entries().collect()} == set(names)
+    once = ledger.compact(f"{ledger.path}-1")
+    assert ledger.commit("later", deltas) and not once.holds("later")
+    assert once.commit("later", deltas)
+    twice = once.compact(f"{ledger.path}-2")
+    for n in [*names, "later"]:
+        assert not twice.commit(n, deltas)
+    rows = {tuple(r) for r in twice.totals().collect()}
+    assert {r[:3] + (r[3] // 7, r[4] // 7) for r in rows} == {tuple(r) for r in deltas.collect()} and all(r[3] == 7 for r in rows)
+    assert twice.commit("new", deltas)
+
+
+def test_a_vocabulary_as_a_tokenizer_version(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from veracol.llm import token_rollups
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(1, "Hello  wörld <|endoftext|> 12345", "en", "s", 1), (2, None, "en", "s", 1), (3, "", None, "t", 1)]
+    counts = token_rollups.bpe_counted(spark.createDataFrame(rows, SCHEMA), "bpe-50k", path, public_tokenizers.PATTERN)
+    assert {r.doc_id: r.n for r in counts.collect()} == {i: len(plain.encode_ordinary(t or "")) for i, t, *_ in rows}
+    ledger = token_rollups.Ledger.new(spark)
+    assert ledger.commit("b", token_rollups.deltas(counts))
+    assert {tuple(r)[:4] for r in ledger.totals().collect()} == {("s", "en", "bpe-50k", 2), ("t", None, "bpe-50k", 1)}

@@ -2,9 +2,11 @@
 
 Totals by source, language and tokenizer version are kept as a ledger of signed deltas. A batch (inserts,
 deletes and revised counts) is reduced to one additive row per group, then committed under its batch id. A
-batch id counts once: its rows are written to a draft, which a rename publishes under a name that no other
-attempt has, and totals read one attempt of each id, so that a batch that is delivered again, by two writers at
-once, or after a lost driver, changes nothing. Totals are the sum over published batches.
+batch id counts once: an attempt writes its rows to a folder of its own, then creates the batch's entry, which names
+that folder and which only one attempt can create. Totals join rows with entries, so that a batch that is delivered
+again, by two writers at once, late, or after a lost driver, changes nothing, and what totals once counted stays.
+Compacting keeps the ids of the batches that it sums, so that these stay known. Entries and ids are read as tables;
+the driver only looks up one name.
 
 Defined cases: null or empty text counts 0 tokens; null source or lang is a group of its own; repeated rows
 count as often as they occur; an empty batch commits and adds nothing; only the named columns are read, so
@@ -13,15 +15,17 @@ extra columns cannot clash.
 
 from __future__ import annotations
 
-import time
+import os
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracol.llm.common import GAP, scratch_root, text_or_empty, written
+from veracol.llm import byte_bpe
+from veracol.llm.common import GAP, discard, scratch_root, text_or_empty, written
 
 GROUP = ("source", "lang", "tokenizer_version")
 SUMS = ("n_docs", "n_tokens")
@@ -53,6 +57,13 @@ def counted(docs: DataFrame, versions: tuple[str, ...] = tuple(COUNTERS)) -> Dat
     return base.select("doc_id", "source", "lang", F.explode(each).alias("c")).select("doc_id", "source", "lang", "c.tokenizer_version", "c.n")
 
 
+def bpe_counted(docs: DataFrame, version: str, rank_path: str, pattern: str) -> DataFrame:
+    """The same with the ids that a byte-level BPE vocabulary gives the whole text as its tokens."""
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
+    ids = byte_bpe.encoded(rows, rank_path, pattern, keep=("doc_id", "source", "lang"))
+    return ids.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"), F.size("ids").cast("long").alias("n"))
+
+
 def deltas(counts: DataFrame, sign: int = 1) -> DataFrame:
     """Counted documents as signed deltas: one row per group, summed before the shuffle."""
     sums = counts.groupBy(*GROUP).agg((F.count(F.lit(1)) * sign).alias("n_docs"), (F.sum("n") * sign).alias("n_tokens"))
@@ -65,9 +76,12 @@ def revised(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
+ENTRIES, DATA, CARRIED = "entries", "data", "carried"
+
+
 @dataclass(frozen=True)
 class Ledger:
-    """A rollup's folder: one sub-folder for each published batch."""
+    """A rollup's folder: rows by attempt, one entry a published batch, and the ids of batches that were summed up."""
 
     spark: SparkSession
     path: str
@@ -81,48 +95,96 @@ class Ledger:
         path = jvm.org.apache.hadoop.fs.Path
         return path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _published(self) -> dict[str, list[str]]:
-        """The attempts of each batch id, first ones first."""
+    def _entry(self, batch_id: str) -> str:
+        return f"{self.path}/{ENTRIES}/batch-{sha256(batch_id.encode()).hexdigest()}"
+
+    def _claimed(self, batch_id: str, attempt: str) -> bool:
+        """Create the batch's entry with the attempt's name, whole or not at all; False where there is one."""
         files, path = self._files()
-        found: dict[str, list[str]] = {}
-        for batch in files.listStatus(path(self.path)) if files.exists(path(self.path)) else []:
-            if batch.getPath().getName().startswith("batch="):
-                tries = [s.getPath().toString() for s in files.listStatus(batch.getPath()) if s.getPath().getName().startswith("attempt-")]
-                if tries:
-                    found[batch.getPath().getName().removeprefix("batch=")] = sorted(tries)
-        return found
+        entry, draft = path(self._entry(batch_id)), path(f"{self.path}/_draft-{attempt}")
+        files.mkdirs(entry.getParent())
+        out = files.create(draft, False)
+        out.write(bytearray(f"{attempt} {batch_id}".encode()))
+        out.close()
+        if files.getScheme() == "file":
+            # A plain rename replaces its target there; a link does not.
+            try:
+                os.link(draft.toUri().getPath(), entry.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                files.delete(draft, False)
+        none = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        rename = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        rename[0] = none
+        try:
+            self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(self.path).toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, entry, rename)
+            return True
+        except Exception:
+            if not files.exists(entry):
+                raise
+            files.delete(draft, False)
+            return False
 
-    def commit(self, batch_id: str, deltas: DataFrame) -> bool:
-        """Publish a batch; False, and no change, where its id is published already.
+    def holds(self, batch_id: str) -> bool:
+        """Whether the batch is published here, or was in a ledger that this one sums up."""
+        files, path = self._files()
+        if files.exists(path(self._entry(batch_id))):
+            return True
+        return bool(self._carried().where(F.col("batch_id") == batch_id).take(1))
 
-        Rows are written to a draft, which one rename makes an attempt of the batch, under a name of its own. Of
-        writers that publish one id at a time each leaves a whole attempt, and totals read the first alone.
-        """
+    def _carried(self) -> DataFrame:
+        files, path = self._files()
+        folder = f"{self.path}/{CARRIED}"
+        return self.spark.read.schema("batch_id string").parquet(folder) if files.exists(path(folder)) else self.spark.createDataFrame([], "batch_id string")
+
+    def entries(self) -> DataFrame:
+        """batch_id and attempt of the published batches."""
         files, path = self._files()
-        if batch_id in self._published():
+        folder = f"{self.path}/{ENTRIES}"
+        if not files.exists(path(folder)):
+            return self.spark.createDataFrame([], "batch_id string, attempt string")
+        said = F.split("value", " ", 2)
+        return self.spark.read.text(folder, wholetext=True).select(said[1].alias("batch_id"), said[0].alias("attempt"))
+
+    def commit(self, batch_id: str, deltas: DataFrame) -> bool:
+        """Publish a batch; False, and no change, where its id is published already."""
+        if self.holds(batch_id):
             return False
-        name = f"attempt-{time.time_ns():020d}-{uuid.uuid4().hex}"
-        draft, folder = path(f"{self.path}/_draft-{uuid.uuid4().hex}"), f"{self.path}/batch={batch_id}"
-        deltas.select(*GROUP, *SUMS).write.parquet(draft.toString())
-        files.mkdirs(path(folder))
-        own = path(f"{folder}/{name}")
-        if not files.rename(draft, own):
-            raise OSError(f"{draft} could not be renamed")
-        if self._published()[batch_id][0].rpartition("/")[2] == name:
+        attempt = uuid.uuid4().hex
+        deltas.select(*GROUP, *SUMS).write.parquet(f"{self.path}/{DATA}/attempt={attempt}")
+        if self._claimed(batch_id, attempt):
             return True
-        files.delete(own, True)
+        files, path = self._files()
+        files.delete(path(f"{self.path}/{DATA}/attempt={attempt}"), True)
         return False
 
     def totals(self) -> DataFrame:
         """The sum of all published batches by group; groups whose counts are all zero are left out."""
-        published = [tries[0] for tries in self._published().values()]
-        rows = self.spark.read.schema(SCHEMA).parquet(*published) if published else self.spark.createDataFrame([], SCHEMA)
+        return self._summed(self.entries())
+
+    def _summed(self, entries: DataFrame) -> DataFrame:
+        files, path = self._files()
+        folder = f"{self.path}/{DATA}"
+        if files.exists(path(folder)):
+            every = self.spark.read.schema(f"{SCHEMA}, attempt string").parquet(folder)
+        else:
+            every = self.spark.createDataFrame([], f"{SCHEMA}, attempt string")
+        rows = every.join(entries.select("attempt"), "attempt", "left_semi")
         return rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS]).where("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self, into: str) -> Ledger:
-        """A ledger of one batch with these totals, at another folder."""
+        """A ledger at another folder with these totals as one batch, which knows the ids of all that they sum up.
+
+        Both come of the batches that are published at one moment; what is published here later isn't in it.
+        """
         other = Ledger(self.spark, into)
-        other.commit("compacted", self.totals())
+        seen = written(self.entries(), "ledger_entries")
+        # Ids first: a compaction that is lost half-way leaves a ledger that refuses batches, not one that counts them twice.
+        seen.select("batch_id").unionByName(self._carried()).distinct().repartitionByRange("batch_id").write.parquet(f"{into}/{CARRIED}")
+        other.commit(f"compacted-{uuid.uuid4().hex}", self._summed(seen))
+        discard(seen)
         return other
 
 
