@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veracol.sources.stored import scratch as scratch  # noqa: PLC0414
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -55,16 +57,3 @@ class Rows:
 
 def sql_list(words: Sequence[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder that the session names; a temporary one only on one machine."""
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not root and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    root = root or tempfile.mkdtemp(prefix="veracol-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
