@@ -15,7 +15,6 @@ with many postings is many rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +29,9 @@ from veracol.sources.stored import scratch, stored
 
 #: Postings of a block, and chunks of the first pass that are scored in full for each query.
 BLOCK, PROMISING = 128, 32
+#: Share of the threshold that terms which are not read may bring: the more, the fewer postings are read, and the more
+#: chunks must be scored in full.
+UNREAD = 0.7
 #: Saturations are kept in single precision; bounds are compared with this much to spare.
 SLACK = 1e-3
 _WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
@@ -62,11 +64,16 @@ class Index:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens as distinct terms with their frequencies."""
     for batch in batches:
-        counts = [Counter(x) for x in batch.column("tokens").to_pylist()]
-        terms, tfs = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))
+        lists = batch.column("tokens")
+        tokens = lists.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+        kinds = max(len(tokens.dictionary), 1)
+        pairs, tfs = np.unique(row * kinds + tokens.indices.to_numpy(), return_counts=True)
+        ends = pa.array(np.searchsorted(pairs, np.arange(len(batch) + 1) * kinds), pa.int32())
+        terms = pa.ListArray.from_arrays(ends, tokens.dictionary.take(pa.array(pairs % kinds)))
         at = batch.schema.get_field_index("tokens")
         columns, names = [*batch.columns], [*batch.schema.names]
-        columns[at : at + 1], names[at : at + 1] = [terms, tfs], ["terms", "tfs"]
+        columns[at : at + 1], names[at : at + 1] = [terms, pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int32()))], ["terms", "tfs"]
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
@@ -177,7 +184,7 @@ def search(queries: DataFrame, index: Index, k: int = 3) -> Search:
     rising = Window.partitionBy("query_id").orderBy(F.col("bound") / F.col("df"), "term")
     below = F.sum("bound").over(rising.rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum("bound").over(Window.partitionBy("query_id"))
-    bounded = bounded.withColumn("below", below).withColumn("whole", whole).withColumn("needed", F.col("below") >= F.col("least") - SLACK)
+    bounded = bounded.withColumn("below", below).withColumn("whole", whole).withColumn("needed", F.col("below") >= F.col("least") * UNREAD - SLACK)
     bounded = bounded.withColumn("left_out", F.sum(F.when(~F.col("needed"), F.col("bound")).otherwise(0.0)).over(Window.partitionBy("query_id")))
     bounded = stored(bounded.select("query_id", "term", "weight", "bound", "least", "whole", "left_out", "needed"), f"{folder}/bounds")
     blocks = bounded.where("needed").join(index.blocks, "term").where(F.col("whole") - F.col("bound") + F.col("weight") * F.col("top") >= F.col("least") - SLACK)
