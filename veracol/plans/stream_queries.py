@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veracol.operators import report, risk, sentences
 from veracol.plans.common import Catalog, scratch, table
-from veracol.streaming import sessions
+from veracol.plans.text_queries import CLICHES, CONNECTORS, FEATURES
+from veracol.streaming import event_log, sessions
 
 catalog = Catalog()
 
@@ -41,3 +43,28 @@ def session_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = sessions.answered(stream, "user_id", IDLE, FOUND_FOR, FAILED_FOR)
     sessions.run(answers, sink, checkpoint)
     return spark.read.schema(answers.schema).parquet(sink)
+
+
+def sentence_events(docs: DataFrame) -> DataFrame:
+    """The events of a batch of documents: one a sentence, between an opening and a closing one."""
+    rows = sentences.features(sentences.split(docs), CLICHES, CONNECTORS)
+    risks = risk.running_risks(rows).withColumnRenamed("sent_idx", "idx")
+    status = F.when(F.col("n_cliches") > 0, "flagged").otherwise("passed")
+    return report.events(rows.select("doc_id", F.col("sent_idx").alias("idx"), F.col("sentence").alias("text"), status.alias("status")).join(risks, ["doc_id", "idx"]))
+
+
+@catalog.add(
+    "event_log",
+    f"""WITH {FEATURES}, n AS (SELECT doc_id, count(*) AS n FROM feat GROUP BY doc_id), body AS (SELECT doc_id, CAST(sent_idx + 2 AS INTEGER) AS seq, 'result' AS event, CASE WHEN n_cliches > 0 THEN 'flagged' ELSE 'passed' END AS said, length(sentence) AS chars FROM feat)
+SELECT * FROM body UNION ALL SELECT doc_id, 1, 'init', CAST(n AS VARCHAR), 0 FROM n UNION ALL SELECT doc_id, CAST(n + 2 AS INTEGER), 'done', '', 0 FROM n""",
+)
+def event_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a stream of files into the event log; what its readers then see."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    source, log, checkpoint = (scratch(spark, f"event-{n}") for n in ("source", "log", "state"))
+    docs.write.parquet(source)
+    stream = spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", 1 << 30).parquet(source)
+    event_log.write(stream, sentence_events, log, checkpoint, "sentences").awaitTermination()
+    said = F.coalesce(F.get_json_object("data", "$.status"), F.get_json_object("data", "$.sentences"), F.lit(""))
+    chars = F.coalesce(F.length(F.get_json_object("data", "$.text")), F.lit(0)).cast("long")
+    return event_log.published(spark, log).select("doc_id", "seq", "event", said.alias("said"), chars.alias("chars"))
