@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veracol.operators import selection
+
 
 def nll(logits: Column, target: Column) -> Column:
     """log sum exp of the row, shifted by its maximum, minus the target's logit."""
@@ -33,9 +35,10 @@ def early_exit(rows: DataFrame, key: str, position: str, prefix: int, low: float
 
 
 def stats(rows: DataFrame, low: float, high: float) -> DataFrame:
-    """Count, mean, median, range and tails of the column ppl."""
+    """Count, mean, exact median, range and tails of the column ppl."""
     p = F.col("ppl")
+    median = selection.quantile(rows, "ppl", 0.5)
     return rows.agg(
-        F.count("ppl").alias("n"), F.avg("ppl").alias("mean_ppl"), F.percentile("ppl", F.lit(0.5)).alias("median_ppl"), F.min("ppl").alias("min_ppl"), F.max("ppl").alias("max_ppl"),
+        F.count("ppl").alias("n"), F.avg("ppl").alias("mean_ppl"), F.lit(median).cast("double").alias("median_ppl"), F.min("ppl").alias("min_ppl"), F.max("ppl").alias("max_ppl"),
         F.count_if(p < low).alias("n_below"), F.count_if(p > high).alias("n_above"), F.greatest(F.lit(1.15 * high), F.max(F.least(p, F.lit(300.0)))).alias("strip_top"),
     )
