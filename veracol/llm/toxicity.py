@@ -1,8 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled texts: one on ordinary text, one on toxic text (the same
-ordinary stretch, led by what sets toxic texts apart, so that a window without any of that compresses alike
-under both). Each window of a text is compressed under both; how many bytes fewer the toxic one needs is
+Two zstandard dictionaries tell the classes apart: one of ordinary text, trained by zstandard where there are samples
+enough (20 times its size; below, it is their end), and the same one led by a list of words that a likelihood ratio
+picks from toxic texts, so that a window without any of these compresses alike under both. The toxic one isn't trained
+by zstandard itself: README says why, with figures. Each window of a text is compressed under both; how many bytes fewer the toxic one needs is
 its distance. Windows from a calibrated distance on are hits; hits beyond the rate at which ordinary texts have
 them, by a logistic curve over training texts, give the score.
 
