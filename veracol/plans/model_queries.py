@@ -80,7 +80,11 @@ def length_judge(prompt: str) -> str:
     return json.dumps({"issues": [{"issue_type": "long_sentence", "severity": "low"}] if len(sentence) > 200 else []})
 
 
-@catalog.add("judge")
+@catalog.add(
+    "judge",
+    f"""WITH {text_queries.FEATURES}, j AS (SELECT doc_id, sent_idx, length(string_split(sentence, chr(10))[1]) AS n FROM feat WHERE n_cliches > 0)
+SELECT doc_id, sent_idx, '' AS think, CASE WHEN n > 2000 THEN 'api_request_error' WHEN n > 200 THEN 'long_sentence' ELSE '' END AS issues FROM j""",
+)
 def judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text_queries.features(spark, sf_dir).where("n_cliches > 0").withColumn("prompt", models.style_prompt(F.lit("plain"), F.lit(""), F.col("sentence"), F.lit(""), F.col("n_words").cast("string")))
     out = models.judged(rows, ["doc_id", "sent_idx"], "prompt", length_judge)
@@ -132,7 +136,11 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.events(sentence_results(spark, sf_dir))
 
 
-@catalog.add("live_risks")
+@catalog.add(
+    "live_risks",
+    f"""WITH {text_queries.FEATURES}, sums AS (SELECT doc_id, {text_queries._summed('')} FROM feat GROUP BY doc_id), r AS (SELECT doc_id, {text_queries._RATIOS} FROM sums), w AS (SELECT DISTINCT doc_id FROM documents WHERE contains(text, '#'))
+SELECT coalesce(r.doc_id, w.doc_id) AS doc_id, {", ".join(f"CAST(round({x}) AS INTEGER) AS {x}" for x in ("predictability_risk", "uniformity_risk", "translationese_risk", "redundancy_risk"))} FROM r FULL JOIN w ON w.doc_id = r.doc_id""",
+)
 def live_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.live_risks(sentence_results(spark, sf_dir))
 
