@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veracol.plans import audit_queries, boundary_queries, model_queries, retrieval_queries, rule_queries, span_queries, stream_queries, text_queries
+from veracol.plans import audit_queries, boundary_queries, model_queries, retrieval_queries, rule_queries, span_queries, store_queries, stream_queries, text_queries
 from veracol.plans.common import Query
 
-_CATALOGS = (text_queries.catalog, retrieval_queries.catalog, rule_queries.catalog, model_queries.catalog, audit_queries.catalog, span_queries.catalog, stream_queries.catalog, boundary_queries.catalog)
+_CATALOGS = (text_queries.catalog, retrieval_queries.catalog, rule_queries.catalog, model_queries.catalog, audit_queries.catalog, span_queries.catalog, stream_queries.catalog, boundary_queries.catalog, store_queries.catalog)
 
 
 def queries() -> dict[str, Query]:

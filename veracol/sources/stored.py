@@ -22,3 +22,29 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     """df written as Parquet and read again: a lost executor costs a re-read, not a recomputation."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def publish_folder(spark: SparkSession, draft: str, place: str) -> bool:
+    """Give a draft folder its final name by one rename; False, and the draft removed, where another has it."""
+    jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, target = jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(place)
+    files = source.getFileSystem(hadoop)
+    files.mkdirs(target.getParent())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), hadoop).rename(source, target, options)
+        return True
+    except Exception:
+        # Whoever failed to rename must find the name taken, else the failure is a real one.
+        if not files.exists(target):
+            raise
+        files.delete(source, True)
+        return False
+
+
+def published_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []

@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from veracol.sources.stored import publish_folder
+
 EVENTS = "doc_id long, seq int, event string, data string"
 PUBLISHED, DRAFTS = "published", "_drafts"
 
@@ -25,7 +27,7 @@ def _files(spark: SparkSession, path: str):
     jvm = spark._jvm
     hadoop = spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(hadoop), jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), hadoop), jvm.org.apache.hadoop.fs.Path
+    return at.getFileSystem(hadoop), jvm.org.apache.hadoop.fs.Path
 
 
 def _place(path: str, writer: str, batch: int) -> str:
@@ -34,25 +36,13 @@ def _place(path: str, writer: str, batch: int) -> str:
 
 def _renamed(spark: SparkSession, path: str, draft: str, place: str) -> bool:
     """Give a draft its published name; False where another has it."""
-    files, context, at = _files(spark, path)
-    files.mkdirs(at(place).getParent())
-    options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
-    try:
-        context.rename(at(draft), at(place), options)
-        return True
-    except Exception:
-        # Whoever failed to rename must find the batch published, else the failure is a real one.
-        if not files.exists(at(place)):
-            raise
-        files.delete(at(draft), True)
-        return False
+    return publish_folder(spark, draft, place)
 
 
 def publish(rows: DataFrame, path: str, writer: str, batch: int) -> bool:
     """Publish a batch's rows; False, and no change, where the batch is published."""
     spark = rows.sparkSession
-    files, _, at = _files(spark, path)
+    files, at = _files(spark, path)
     place = _place(path, writer, batch)
     if files.exists(at(place)):
         return False
@@ -82,5 +72,5 @@ def published(spark: SparkSession, path: str, schema: str = EVENTS) -> DataFrame
 
 def sweep(spark: SparkSession, path: str) -> None:
     """Remove what lost drivers left behind."""
-    files, _, at = _files(spark, path)
+    files, at = _files(spark, path)
     files.delete(at(f"{path}/{DRAFTS}"), True)
