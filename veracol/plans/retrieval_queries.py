@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veracol.functions import lexicons as lx
 from veracol.functions import text as t
-from veracol.operators import impact_index, perplexity, retrieval, sentences, similarity
+from veracol.operators import impact_index, lookup, perplexity, retrieval, sentences, similarity
 from veracol.plans.common import Catalog, Rows, sql_list, table
 from veracol.plans.text_queries import SENTENCES
 
@@ -99,6 +99,21 @@ def title_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(titles, "item_id").select("item_id", F.when(F.size("t") == 0, 0.0).otherwise(share).alias("similarity"))
 
 
+_HEAD = r"array_to_string(list_slice(list_filter(regexp_split_to_array(chunk, '[\s\p{Z}]+'), lambda w: w <> ''), 1, 12), ' ')"
+
+
+@catalog.add(
+    "metadata_lookup",
+    f"""WITH {_CHUNKS}, k AS (SELECT doc_id, chunk_index, {_HEAD} AS title FROM chunks), x AS (SELECT *, {_TITLE('title')} AS t FROM k), q AS (SELECT item_id, {_TITLE('text')} AS q FROM benchmark),
+p AS (SELECT item_id, doc_id, chunk_index, title, CAST(len(list_intersect(q, t)) AS DOUBLE) / len(t) AS similarity FROM q CROSS JOIN x WHERE len(t) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id, chunk_index) AS k FROM p WHERE similarity >= {lookup.LEAST}) SELECT item_id, doc_id, chunk_index, title, similarity FROM r WHERE k = 1""",
+)
+def metadata_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as requests, the heads of chunks as titles."""
+    heads = chunks(spark, sf_dir).select("doc_id", "chunk_index", F.array_join(F.slice(t.word_list(F.col("chunk")), 1, 12), " ").alias("title"))
+    return lookup.best_titles(table(spark, sf_dir, "benchmark"), heads, "item_id", "text", ["doc_id", "chunk_index"], "title")
+
+
 @catalog.add("inverted_rebuild", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda w: w <> ''), ' ') AS text FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]')")
 def inverted_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rebuilt(retrieval.inverted(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
