@@ -1,11 +1,14 @@
-"""Queries over learned sentence boundaries."""
+"""Queries over learned sentence boundaries and over chains in sentences."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veracol.operators import boundaries
+from veracol.functions import text as t
+from veracol.operators import boundaries, chains
 from veracol.plans.common import Catalog, table
+from veracol.plans.text_queries import SENTENCES, sentence_split
 
 catalog = Catalog()
 
@@ -32,3 +35,23 @@ merged AS (SELECT doc_id, run, regexp_replace(string_agg(piece, '. ' ORDER BY n)
 @catalog.add("learned_sentences", f"WITH {_LEARNED} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS INTEGER) AS sent_idx, sentence FROM merged WHERE sentence <> ''")
 def learned_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundaries.split(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def by_length(sentence: Column) -> tuple[Column, Column]:
+    """A stand-in for a parser: a word's head is the one before it, or the second before it for words of odd length; words of
+    four characters or more are marked."""
+    words = t.word_list(sentence)
+    return F.transform(words, lambda w, i: i - 1 - F.length(w) % 2), F.transform(words, lambda w: F.length(w) >= 4)
+
+
+@catalog.add(
+    "longest_chains",
+    rf"""WITH RECURSIVE {SENTENCES.strip()}, worded AS (SELECT doc_id, sent_idx, list_filter(regexp_split_to_array(sentence, '[\s\p{{Z}}]+'), lambda w: w <> '') AS w FROM sentences),
+tok AS (SELECT doc_id, sent_idx, CAST(unnest(range(len(w))) AS INTEGER) AS i, length(unnest(w)) AS n FROM worded),
+walk AS (SELECT doc_id, sent_idx, i - 1 - CAST(n % 2 AS INTEGER) AS head, 1 AS long FROM tok WHERE n >= 4 UNION ALL
+  SELECT k.doc_id, k.sent_idx, k.i - 1 - CAST(k.n % 2 AS INTEGER), long + 1 FROM walk w JOIN tok k ON k.doc_id = w.doc_id AND k.sent_idx = w.sent_idx AND k.i = w.head AND k.n >= 4),
+best AS (SELECT doc_id, sent_idx, max(long) AS chain FROM walk GROUP BY ALL)
+SELECT doc_id, sent_idx, CAST(coalesce(chain, 0) AS BIGINT) AS chain, FALSE AS cyclic FROM sentences LEFT JOIN best USING (doc_id, sent_idx)""",
+)
+def longest_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.with_chains(sentence_split(spark, sf_dir), by_length).drop("sentence")
