@@ -25,6 +25,8 @@ KINDS = (
     ("SIMPLE_MATH", r"\b[a-zA-Zα-ωΑ-Ω]\b\s*=\s*[\w\d]+|(?:\b[a-zA-Zα-ωΑ-Ω]\b|\b[a-zA-Zα-ωΑ-Ω]_\w+)\s*(?:[=<>+\-*/\s]{1,3}\s*(?:\d+|\b[a-zA-Zα-ωΑ-Ω]\b|\b[a-zA-Zα-ωΑ-Ω]_\w+))++"),
 )
 _EVERY_SCRIPT = "(?U)"
+#: What a text must hold for a kind's pattern to match, as a plain test before the pattern; capitals are tested too.
+_NEEDS = {"LITERAL": ("__PROTECTED_",), "LATEX": ("$",), "REF": ("[",), "FIG_TBL": ("рис", "табл", "уравнени", "формул")}
 
 
 def _interleaved(pieces: Column, between: Column) -> Column:
@@ -35,10 +37,14 @@ def _interleaved(pieces: Column, between: Column) -> Column:
 def _protected(df: DataFrame, kind: str, pattern: str) -> DataFrame:
     pattern = _EVERY_SCRIPT + pattern
     names = F.transform("_found", lambda _, i: F.concat(F.lit(f"__PROTECTED_{kind}_"), F.size("spans") + i, F.lit("__")))
-    new = F.when(F.size("_found") > 0, _interleaved(F.split("protected", pattern, -1), names)).otherwise(F.col("protected"))
+    new = F.when(F.coalesce(F.size("_found"), F.lit(0)) > 0, _interleaved(F.split("protected", pattern, -1), names)).otherwise(F.col("protected"))
     more = F.transform(F.coalesce("_found", F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("original")))
+    able = F.lit(kind not in _NEEDS)
+    for needed in _NEEDS.get(kind, ()):
+        able = able | F.lower("protected").contains(needed) if kind == "FIG_TBL" else able | F.col("protected").contains(needed)
+    found = F.when(able, F.regexp_extract_all("protected", F.lit(pattern), 0))
     # Two steps, so that the pattern looks for matches once.
-    return df.withColumn("_found", F.regexp_extract_all("protected", F.lit(pattern), 0)).withColumns({"protected": new, "spans": F.concat("spans", more)})
+    return df.withColumn("_found", found).withColumns({"protected": new, "spans": F.concat("spans", more)})
 
 
 def protected(docs: DataFrame, text: str = "text") -> DataFrame:
