@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -40,15 +41,30 @@ def sentence_list(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\. "), trimmed), lambda s: s != "")
 
 
+def _quoted(phrase: str) -> str:
+    return "".join("\\" + ch if ch in r".^$*+?{}[]|()\\" else ch for ch in phrase).replace(" ", r"\s+")
+
+
 def phrase_pattern(phrase: str) -> str:
     """A pattern that finds the phrase between word boundaries, white space matching any."""
-    plain = "".join("\\" + ch if ch in r".^$*+?{}[]|()\\" else ch for ch in phrase).replace(" ", r"\s+")
-    return f"(?:^|{EDGE}){plain}(?:$|{EDGE})"
+    return f"(?:^|{EDGE}){_quoted(phrase)}(?:$|{EDGE})"
+
+
+def _has_phrase(c: Column, phrase: str) -> Column:
+    """Whether `phrase_pattern` matches: its words as plain text first, then the phrase without its boundaries, which few texts
+    pass, as looking for boundaries everywhere costs most."""
+    found = c.rlike(phrase_pattern(phrase))
+    if phrase.strip() != phrase or not phrase:
+        return found
+    found = c.rlike(_quoted(phrase)) & found
+    for word in reversed(phrase.split(" ")):
+        found = c.contains(word) & found
+    return found
 
 
 def phrases_in(c: Column, phrases: Iterable[str]) -> Column:
     """The phrases that the (lower-cased) text has, each once, in the order given."""
-    return F.array_compact(F.array(*[F.when(c.rlike(phrase_pattern(p)), F.lit(p)) for p in phrases]))
+    return F.array_compact(F.array(*[F.when(_has_phrase(c, p), F.lit(p)) for p in phrases]))
 
 
 def first_contained(c: Column, classes: Iterable[tuple[str, Iterable[str]]], default: str) -> Column:
@@ -68,11 +84,16 @@ def tokens(c: Column) -> Column:
 
 
 def chunks(text: str, size: int = 500, overlap: int = 100) -> Column:
-    """Windows of a column's white-space collapsed text; one if it fits."""
-    step, t = size - overlap, f"trim(regexp_replace({text}, r'[\\s\\p{{Z}}]+', ' '))"
+    """Windows of a column's white-space collapsed text; one if it fits.
+
+    The text is cut once into pieces that windows are made of, as a substring is sought from the text's start each time.
+    """
+    unit = math.gcd(size, size - overlap)
+    step, most = (size - overlap) // unit, size // unit
+    clean = f"trim(regexp_replace({text}, r'[\\s\\p{{Z}}]+', ' '))"
     return F.expr(
-        f"transform(array({t}), t -> CASE WHEN t = '' THEN array() WHEN length(t) <= {size} THEN array(t) ELSE "
-        f"transform(sequence(0, length(t) - 1, {step}), i -> trim(substring(t, i + 1, {size}))) END)[0]"
+        f"transform(array(regexp_extract_all({clean}, '(?s).{{1,{unit}}}', 0)), p -> CASE WHEN p IS NULL OR size(p) = 0 THEN array() WHEN size(p) <= {most} THEN array(array_join(p, '')) ELSE "
+        f"transform(sequence(0, size(p) - 1, {step}), i -> trim(array_join(slice(p, i + 1, {most}), ''))) END)[0]"
     )
 
 

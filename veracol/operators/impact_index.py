@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracol.functions import text as t
-from veracol.operators.retrieval import CONTRIBUTION, K1, B
+from veracol.operators.retrieval import CONTRIBUTION, K1, B, counted
 from veracol.sources.stored import scratch, stored
 
 #: Postings of a block, and chunks of the first pass that are scored in full for each query.
@@ -61,22 +61,6 @@ class Index:
     key: str
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens as distinct terms with their frequencies."""
-    for batch in batches:
-        lists = batch.column("tokens")
-        tokens = lists.flatten().dictionary_encode()
-        row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
-        kinds = max(len(tokens.dictionary), 1)
-        pairs, tfs = np.unique(row * kinds + tokens.indices.to_numpy(), return_counts=True)
-        ends = pa.array(np.searchsorted(pairs, np.arange(len(batch) + 1) * kinds), pa.int32())
-        terms = pa.ListArray.from_arrays(ends, tokens.dictionary.take(pa.array(pairs % kinds)))
-        at = batch.schema.get_field_index("tokens")
-        columns, names = [*batch.columns], [*batch.schema.names]
-        columns[at : at + 1], names[at : at + 1] = [terms, pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int32()))], ["terms", "tfs"]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of postings that come in order of (term, chunk)."""
     rest = None
@@ -114,10 +98,7 @@ def built(chunks: DataFrame, key: str) -> Index:
     """An index over chunks (key, chunk_index, chunk), stored in the shared folder."""
     spark = chunks.sparkSession
     folder = scratch(spark, "impact-index")
-    kind = chunks.schema[key].dataType.simpleString()
-    rows = chunks.select(key, "chunk_index", t.tokens(F.col("chunk")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    held = rows.mapInArrow(_counted, f"{key} {kind}, chunk_index int, terms array<string>, tfs array<int>, dl int")
-    held = stored(held.withColumn("number", F.monotonically_increasing_id()), f"{folder}/chunks")
+    held = stored(counted(chunks, key, "chunk_index").withColumn("number", F.monotonically_increasing_id()), f"{folder}/chunks")
     n_chunks, n_tokens = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
     mean = max(n_tokens, 1) / max(n_chunks, 1)
     each = held.select("number", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), "number", _saturation(F.col("p.tfs"), F.col("dl"), F.lit(mean)).alias("sat"))

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracol.functions import text as t
+from veracol.sources.stored import scratch, stored
 
 K1, B = 1.5, 0.75
 #: A term's contribution is kept in so many decimals, so that sums do not depend on their order.
@@ -17,17 +25,71 @@ def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(t.chunks(text)).alias("chunk_index", "chunk"))
 
 
+#: The terms of lower-cased text, as `text.tokens` finds them.
+_TERM = re.compile("[a-z0-9а-яё]+")
+
+
+def counted(chunks: DataFrame, *names: str) -> DataFrame:
+    """names, terms, tfs, dl: each chunk's distinct terms with their frequencies, and its length in terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [_TERM.findall(x or "") for x in batch.column("_low").to_pylist()]
+            lengths = np.array([len(x) for x in lists], np.int32)
+            tokens = pa.array(list(chain.from_iterable(lists)), pa.string()).dictionary_encode()
+            kinds = max(len(tokens.dictionary), 1)
+            pairs, tfs = np.unique(np.repeat(np.arange(len(batch)), lengths) * kinds + tokens.indices.to_numpy(), return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(len(batch) + 1) * kinds), pa.int32())
+            terms = pa.ListArray.from_arrays(ends, tokens.dictionary.take(pa.array(pairs % kinds)))
+            counts = pa.ListArray.from_arrays(ends, pa.array(tfs, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], terms, counts, pa.array(lengths)], names=[*names, "terms", "tfs", "dl"])
+
+    kinds = ", ".join(f"`{n}` {chunks.schema[n].dataType.simpleString()}" for n in names)
+    return chunks.select(*names, F.lower("chunk").alias("_low")).mapInArrow(run, f"{kinds}, terms array<string>, tfs array<int>, dl int")
+
+
 def postings(chunks: DataFrame, scope: list[str], key: str) -> DataFrame:
     """Term frequencies with the scope's statistics: df, number of chunks, average length."""
-    rows = chunks.select(*scope, *[c for c in (key, "chunk_index") if c not in scope], t.tokens(F.col("chunk")).alias("_t")).withColumn("dl", F.size("_t"))
-    stats = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("_all"))
     keys = list(dict.fromkeys([*scope, key, "chunk_index"]))
-    tf = rows.select(*keys, "dl", F.explode("_t").alias("term")).groupBy(*keys, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = counted(chunks, *keys)
+    return _measured(_exploded(rows, *keys, "dl"), rows, scope, keys)
+
+
+def _exploded(rows: DataFrame, *names: str) -> DataFrame:
+    each = rows.select(*names, F.explode(F.arrays_zip("terms", "tfs")).alias("_p"))
+    return each.select(*names, F.col("_p.terms").alias("term"), F.col("_p.tfs").alias("tf"))
+
+
+def _measured(each: DataFrame, rows: DataFrame, scope: list[str], keys: list[str]) -> DataFrame:
+    stats = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("_all"))
+    tf = each.groupBy(*keys, "dl", "term").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
     joined = tf.join(df, [*scope, "term"])
     return joined.join(stats, scope) if scope else joined.crossJoin(F.broadcast(stats))
 
 
+@dataclass(frozen=True)
+class Wanted:
+    """Postings of the terms that queries have, and all chunks (key, chunk_index, dl): what a few queries need of a corpus."""
+
+    posts: DataFrame
+    chunks: DataFrame
+
+
+def wanted_postings(chunks: DataFrame, key: str, queries: DataFrame) -> Wanted:
+    """`postings` of one corpus for the terms of queries alone, with the statistics of all chunks, from one pass over them."""
+    folder = scratch(chunks.sparkSession, "postings")
+    # Stored, so that the planner knows how small it is.
+    terms = stored(queries.select(F.explode(t.tokens(F.col("query"))).alias("term")).distinct(), f"{folder}/terms")
+    # A row without a term stands for the chunk itself.
+    rows = counted(chunks, key, "chunk_index").withColumn("terms", F.concat("terms", F.array(F.lit(None).cast("string"))))
+    each = _exploded(rows, key, "chunk_index", "dl")
+    known = each.join(terms.withColumn("_known", F.lit(True)), "term", "left").where("_known OR term IS NULL").select(key, "chunk_index", "dl", "term", "tf")
+    held = stored(known, f"{folder}/held")
+    every = held.where("term IS NULL").select(key, "chunk_index", "dl")
+    return Wanted(_measured(held.where("term IS NOT NULL"), every, [], [key, "chunk_index"]), every)
+
+
 def top_k(queries: DataFrame, posts: DataFrame, scope: list[str], key: str, k: int = 3) -> DataFrame:
     """The k best chunks of each query (query_id, query), by score, then order in the corpus; scores over 0 only."""
     terms = queries.select("query_id", *scope, F.explode(t.tokens(F.col("query"))).alias("term")).groupBy("query_id", *scope, "term").agg(F.count(F.lit(1)).alias("qf"))

@@ -20,8 +20,9 @@ def features(sentences: DataFrame, cliches: tuple[str, ...] = (), connectors: tu
     Without a part-of-speech model nouns are half and verbs a fifth of the words, passives and chains zero.
     """
     words = t.word_list(F.col("sentence"))
-    low = F.lower("sentence")
-    df = sentences.withColumn("_words", words)
+    # Columns of their own, as what is asked of them several times would be computed as often.
+    low = F.col("_low")
+    df = sentences.withColumns({"_words": words, "_low": F.lower("sentence")})
     df = df.withColumn("n_tokens", F.size("_words").cast("long"))
     df = df.withColumn("n_words", F.size(F.filter("_words", lambda w: ~w.startswith("__PROTECTED_"))).cast("long"))
     df = df.withColumn("n_nouns", F.expr("n_words div 2")).withColumn("n_verbs", F.expr("greatest(1L, n_words div 5)"))
@@ -34,7 +35,7 @@ def features(sentences: DataFrame, cliches: tuple[str, ...] = (), connectors: tu
         .withColumn("n_cliches", F.size("cliches").cast("long"))
         .withColumn("n_connectors", F.size("connectors").cast("long"))
         .withColumn("is_protected", F.expr("n_tokens > 0 AND 2 * (n_tokens - n_words) > n_tokens"))
-        .drop("_words")
+        .drop("_words", "_low")
     )
 
 
