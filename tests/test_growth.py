@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veracol.functions import text as t
-from veracol.operators import retrieval
+from veracol.operators import report, retrieval
 
 
 def exchanges(df) -> int:
@@ -31,3 +31,21 @@ def test_phrases_stand_between_word_boundaries(spark):
     by_pattern = F.when(F.col("c").rlike(t.phrase_pattern("of the")), F.array(F.lit("of the"))).otherwise(F.array().cast("array<string>"))
     for r in rows.select("c", t.phrases_in(F.col("c"), ("of the",)).alias("got"), by_pattern.alias("want")).collect():
         assert r.got == r.want, r.c
+
+
+RESULTS = "doc_id long, idx int, text string, status string, issue_type string, severity string, ppl double, predictability_risk double, uniformity_risk double, translationese_risk double, redundancy_risk double"
+
+
+def test_reports_read_their_results_once(spark):
+    rows = [(1, 1, "b", "flagged", "k", "low", 2.0, 1.0, 2.0, 3.0, 4.0), (1, -1, "w", "flagged", "i", "high", None, 0.0, 0.0, 0.0, 0.0), (1, 0, "a", "passed", None, None, None, 9.0, 9.0, 9.0, 9.0), (2, -2, "v", "flagged", "i", "high", None, 0.0, 0.0, 0.0, 0.0)]
+    results = spark.createDataFrame(rows, RESULTS)
+    got = sorted((r.doc_id, r.seq, r.event) for r in report.events(results).collect())
+    assert got == [(1, 1, "init"), (1, 2, "result"), (1, 3, "result"), (1, 4, "result"), (1, 5, "done"), (2, 1, "init"), (2, 2, "result")]
+    data = {r.seq: r.data for r in report.events(results).where("doc_id = 1").collect()}
+    assert data[1] == '{"sentences":2}' and '"w"' in data[2] and '"a"' in data[3] and data[5].startswith('{"predictability_risk":1.0,')
+    audits = spark.createDataFrame([], "doc_id long, idx int, cite_key string, title string, status string, evidence string")
+    text = {r.doc_id: r.report for r in report.markdown(results, audits).collect()}
+    assert list(text) == [1] and "- `i` (high): w" in text[1] and "- 1 `k` (low), perplexity 2.00: b" in text[1]
+    # Each report asks for its results once.
+    for made in (report.events(results), report.markdown(results, audits), report.as_json(results, audits)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("predictability_risk#") and exchanges(made) <= 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracol.operators.risk import RISKS, report_level
@@ -18,9 +18,10 @@ def live_risks(results: DataFrame, key: str = "doc_id") -> DataFrame:
     return results.groupBy(key).agg(*[F.round(F.max_by(r, F.when(F.col(r).isNotNull() & (F.col("idx") >= 0), F.col("idx")))).cast("int").alias(r) for r in RISKS])
 
 
-def _lines(rows: DataFrame, key: str, name: str, line) -> DataFrame:
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("idx", line.alias("line")))), lambda x: x["line"])
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{name}"), F.array_join(ordered, "\n").alias(name))
+def _joined(where: Column, idx: Column, line: Column) -> Column:
+    """The lines of a group's rows that meet a condition, by idx; null without any."""
+    found = F.collect_list(F.when(where, F.struct(idx.alias("idx"), line.alias("line"))))
+    return F.when(F.count_if(where) > 0, F.array_join(F.transform(F.sort_array(found), lambda x: x["line"]), "\n"))
 
 
 def markdown(results: DataFrame, audits: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -28,19 +29,26 @@ def markdown(results: DataFrame, audits: DataFrame, key: str = "doc_id") -> Data
 
     results: idx, text, status, issue_type, severity, ppl and the risks; audits: idx, cite_key, title, status, evidence.
     """
-    risks = final_risks(results, key)
-    row = lambda r: F.format_string(f"| {r} | %.1f%% | %s |", r, report_level(F.col(r)))
-    table = risks.select(key, F.concat_ws("\n", F.lit("| risk | value | level |"), F.lit("| --- | --- | --- |"), *[row(r) for r in RISKS]).alias("risk_table"))
-    named = lambda: F.concat(F.lit("`"), F.coalesce("issue_type", F.lit("")), F.lit("` ("), F.coalesce("severity", F.lit("")), F.lit(")"))
-    warned = _lines(results.where("idx < 0").withColumn("idx", -F.col("idx")), key, "warnings", F.concat(F.lit("- "), named(), F.lit(": "), F.col("text")))
+    # One pass over the results, which may be long to compute.
+    named = F.concat(F.lit("`"), F.coalesce("issue_type", F.lit("")), F.lit("` ("), F.coalesce("severity", F.lit("")), F.lit(")"))
+    warned = F.concat(F.lit("- "), named, F.lit(": "), F.col("text"))
     ppl = F.when(F.col("ppl").isNotNull(), F.format_string(", perplexity %.2f", "ppl")).otherwise("")
-    flagged = _lines(results.where("idx >= 0 AND status = 'flagged'"), key, "flagged", F.concat(F.lit("- "), F.col("idx").cast("string"), F.lit(" "), named(), ppl, F.lit(": "), F.col("text")))
+    flagged = F.concat(F.lit("- "), F.col("idx").cast("string"), F.lit(" "), named, ppl, F.lit(": "), F.col("text"))
+    body = F.col("idx") >= 0
+    known = results.groupBy(key).agg(
+        *[F.max_by(r, F.when(body, F.col("idx"))).alias(r) for r in RISKS],
+        F.count_if(body).alias("_n"),
+        _joined(F.col("idx") < 0, -F.col("idx"), warned).alias("warnings"),
+        _joined(body & (F.col("status") == "flagged"), F.col("idx"), flagged).alias("flagged"),
+    )
+    row = lambda r: F.format_string(f"| {r} | %.1f%% | %s |", r, report_level(F.col(r)))
+    table = F.concat_ws("\n", F.lit("| risk | value | level |"), F.lit("| --- | --- | --- |"), *[row(r) for r in RISKS])
+    df = known.where("_n > 0").select(key, table.alias("risk_table"), "warnings", "flagged")
     cut = lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(F.col(c))
-    checked = _lines(audits, key, "audits", F.concat_ws(" | ", F.lit("|"), F.col("cite_key"), cut("title", 35), F.col("status"), F.lit("|")))
-    quoted = _lines(audits.where("evidence <> ''"), key, "evidence", F.concat(F.lit("- ["), F.col("cite_key"), F.lit("] "), cut("evidence", 50)))
-    df = table
-    for part in (warned, flagged, checked, quoted):
-        df = df.join(part, key, "left")
+    checked = F.concat_ws(" | ", F.lit("|"), F.col("cite_key"), cut("title", 35), F.col("status"), F.lit("|"))
+    quoted = F.concat(F.lit("- ["), F.col("cite_key"), F.lit("] "), cut("evidence", 50))
+    every = _joined(F.lit(True), F.col("idx"), checked)
+    df = df.join(audits.groupBy(key).agg(every.alias("audits"), _joined(F.col("evidence") != "", F.col("idx"), quoted).alias("evidence")), key, "left")
     section = lambda title, body, none: F.concat(F.lit(f"## {title}\n"), F.coalesce(body, F.lit(none)))
     text = F.concat_ws(
         "\n\n",
@@ -56,20 +64,26 @@ def markdown(results: DataFrame, audits: DataFrame, key: str = "doc_id") -> Data
 
 def as_json(results: DataFrame, audits: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, report as JSON: results and audits in order, sentences in total, results flagged (warnings too)."""
-    gathered = lambda df, name, by: df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(by, *[c for c in df.columns if c not in (key, by)]))).alias(name))
-    counts = results.groupBy(key).agg(F.count_if(F.col("idx") >= 0).alias("total"), F.count_if(F.col("status") == "flagged").alias("flagged_count"))
-    df = counts.join(gathered(results, "diagnostics", "idx"), key).join(gathered(audits, "citations", "idx"), key, "left")
+    gathered = lambda df, by: F.sort_array(F.collect_list(F.struct(by, *[c for c in df.columns if c not in (key, by)])))
+    known = results.groupBy(key).agg(F.count_if(F.col("idx") >= 0).alias("total"), F.count_if(F.col("status") == "flagged").alias("flagged_count"), gathered(results, "idx").alias("diagnostics"))
+    df = known.join(audits.groupBy(key).agg(gathered(audits, "idx").alias("citations")), key, "left")
     return df.select(key, F.to_json(F.struct("diagnostics", F.coalesce("citations", F.array()).alias("citations"), F.struct("total", "flagged_count").alias("overall_summary"))).alias("report"))
 
 
 def events(results: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, seq, event, data: init, warnings and results in order, done with the last risks."""
-    risks = final_risks(results, key)
-    counts = results.groupBy(key).agg(F.count_if(F.col("idx") >= 0).alias("sentences"))
-    init = counts.select(key, F.lit(0).alias("_o"), F.lit(0).alias("_i"), F.lit("init").alias("event"), F.to_json(F.struct("sentences")).alias("data"))
-    body = results.select(key, F.when(F.col("idx") < 0, 1).otherwise(2).alias("_o"), F.abs("idx").alias("_i"), F.lit("result").alias("event"), F.to_json(F.struct(*[c for c in results.columns if c != key])).alias("data"))
-    done = risks.select(key, F.lit(3).alias("_o"), F.lit(0).alias("_i"), F.lit("done").alias("event"), F.to_json(F.struct(*RISKS)).alias("data"))
-    from pyspark.sql import Window
-
-    every = init.unionByName(body).unionByName(done)
-    return every.select(key, F.row_number().over(Window.partitionBy(key).orderBy("_o", "_i")).alias("seq"), "event", "data")
+    # One pass: a document's first row brings its opening event along, its last one the closing event.
+    body = F.col("idx") >= 0
+    doc = Window.partitionBy(key)
+    order = doc.orderBy(body, F.abs("idx"))
+    rows = results.select(
+        key,
+        F.to_json(F.struct(*[c for c in results.columns if c != key])).alias("_data"),
+        F.row_number().over(order).alias("_n"),
+        F.count_if(body).over(doc).alias("sentences"),
+        F.when(body & F.lead(F.lit(1)).over(order).isNull(), F.to_json(F.struct(*RISKS))).alias("_done"),
+    )
+    event = lambda seq, name, data: F.struct(seq.alias("seq"), F.lit(name).alias("event"), data.alias("data"))
+    init = F.when(F.col("_n") == 1, event(F.lit(1), "init", F.to_json(F.struct("sentences"))))
+    done = F.when(F.col("_done").isNotNull(), event(F.col("_n") + 2, "done", F.col("_done")))
+    return rows.select(key, F.explode(F.array_compact(F.array(init, event(F.col("_n") + 1, "result", F.col("_data")), done))).alias("_e")).select(key, "_e.*")

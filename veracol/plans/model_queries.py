@@ -108,12 +108,14 @@ def nli_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence results with running risks and one integrity warning per document with a number sign."""
-    rows = text_queries.features(spark, sf_dir)
-    risks = risk.running_risks(rows).withColumnRenamed("sent_idx", "idx")
+    # Dealt by document before it is cut into sentences, so that nothing needs to move afterwards.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    rows = sentences.features(sentences.split(docs), text_queries.CLICHES, text_queries.CONNECTORS)
     kind = F.when(F.col("n_cliches") > 0, "cliche")
-    base = rows.select("doc_id", F.col("sent_idx").alias("idx"), F.col("sentence").alias("text"), F.when(kind.isNotNull(), "flagged").otherwise("passed").alias("status"), kind.alias("issue_type"), F.when(kind.isNotNull(), "low").alias("severity"), F.lit(None).cast("double").alias("ppl"))
-    body = base.join(risks, ["doc_id", "idx"])
-    warned = table(spark, sf_dir, "documents").where("text LIKE '%#%'").select("doc_id", F.lit(-1).alias("idx"), F.lit("number sign").alias("text"), F.lit("flagged").alias("status"), F.lit("integrity").alias("issue_type"), F.lit("high").alias("severity"), F.lit(None).cast("double").alias("ppl"), *[F.lit(0.0).alias(r) for r in risk.RISKS])
+    body = risk.running_risks(rows, keep=("sentence", "n_cliches")).select(
+        "doc_id", F.col("sent_idx").alias("idx"), F.col("sentence").alias("text"), F.when(kind.isNotNull(), "flagged").otherwise("passed").alias("status"), kind.alias("issue_type"), F.when(kind.isNotNull(), "low").alias("severity"), F.lit(None).cast("double").alias("ppl"), *risk.RISKS
+    )
+    warned = docs.where("text LIKE '%#%'").select("doc_id", F.lit(-1).alias("idx"), F.lit("number sign").alias("text"), F.lit("flagged").alias("status"), F.lit("integrity").alias("issue_type"), F.lit("high").alias("severity"), F.lit(None).cast("double").alias("ppl"), *[F.lit(0.0).alias(r) for r in risk.RISKS])
     return warned.unionByName(body)
 
 

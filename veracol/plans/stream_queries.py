@@ -47,10 +47,10 @@ def session_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_events(docs: DataFrame) -> DataFrame:
     """The events of a batch of documents: one a sentence, between an opening and a closing one."""
-    rows = sentences.features(sentences.split(docs), CLICHES, CONNECTORS)
-    risks = risk.running_risks(rows).withColumnRenamed("sent_idx", "idx")
+    rows = sentences.features(sentences.split(docs.repartition("doc_id")), CLICHES, CONNECTORS)
     status = F.when(F.col("n_cliches") > 0, "flagged").otherwise("passed")
-    return report.events(rows.select("doc_id", F.col("sent_idx").alias("idx"), F.col("sentence").alias("text"), status.alias("status")).join(risks, ["doc_id", "idx"]))
+    results = risk.running_risks(rows, keep=("sentence", "n_cliches"))
+    return report.events(results.select("doc_id", F.col("sent_idx").alias("idx"), F.col("sentence").alias("text"), status.alias("status"), *risk.RISKS))
 
 
 @catalog.add(

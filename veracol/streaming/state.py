@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,16 +21,16 @@ def running_risks(features: DataFrame) -> DataFrame:
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, words, words2, excess, redundant = state.get if state.exists else (0, 0, 0, 0, 0)
-        rows = []
-        for r in pd.concat(frames).sort_values("sent_idx").itertuples():
-            n, words, words2 = n + 1, words + int(r.n_tokens), words2 + int(r.n_tokens) ** 2
-            excess, redundant = excess + int(r.excess100), redundant + int(r.is_redundant)
-            spread = math.sqrt(n * words2 - words * words) / n
-            uniform = max(0.0, min(100.0, (11.0 - spread) * 10.0)) if n > 1 else 0.0
-            rows.append((key[0], r.sent_idx, uniform, excess / 100.0 / (n * 6) * 100, 100 * redundant / n))
-        state.update((n, words, words2, excess, redundant))
-        yield pd.DataFrame(rows, columns=[f.split()[0] for f in RISK_ROWS.split(", ")])
+        before = state.get if state.exists else (0, 0, 0, 0, 0)
+        rows = pd.concat(frames)
+        rows = rows.iloc[np.argsort(rows["sent_idx"].to_numpy(), kind="stable")]
+        tokens = rows["n_tokens"].to_numpy().astype(np.int64)
+        each = (np.ones(len(tokens), np.int64), tokens, tokens**2, rows["excess100"].to_numpy().astype(np.int64), rows["is_redundant"].to_numpy().astype(np.int64))
+        n, words, words2, excess, redundant = sums = [b + np.cumsum(x) for b, x in zip(before, each, strict=True)]
+        spread = np.sqrt((n * words2 - words * words).astype(np.float64)) / n
+        uniform = np.where(n > 1, np.clip((11.0 - spread) * 10.0, 0.0, 100.0), 0.0)
+        state.update(tuple(int(x[-1]) for x in sums))
+        yield pd.DataFrame({"doc_id": key[0], "sent_idx": rows["sent_idx"].to_numpy(), "uniformity_risk": uniform, "translationese_risk": excess / 100.0 / (n * 6) * 100, "redundancy_risk": 100 * redundant / n})
 
     state = SUMS.removeprefix("doc_id long, ")
     return features.groupBy("doc_id").applyInPandasWithState(update, RISK_ROWS, state, "append", GroupStateTimeout.NoTimeout)
