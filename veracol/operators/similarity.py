@@ -26,23 +26,27 @@ CARRIED_ROWS, CARRIED_CHARS = 4096, 4_000_000
 COUNTERS = 1 << 22
 
 
-def _bucket(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+def bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def _frequencies(library: DataFrame, text: str) -> Column:
-    """A constant array: how many library texts have a gram of each bucket."""
-    counts = library.select(F.explode(t.grams(F.col(text))).alias("g")).groupBy(_bucket(F.col("g")).alias("b")).count()
+def bucket_counts(words: DataFrame, word: str) -> Column:
+    """A constant array: how many rows have a word of each bucket."""
     found = [0] * BUCKETS
-    for r in counts.collect():  # BUCKETS rows at most
+    for r in words.groupBy(bucket(F.col(word)).alias("b")).count().collect():  # BUCKETS rows at most
         found[r.b] = r["count"]
     return F.split(F.lit(",".join(map(str, found))), ",").cast("array<long>")
 
 
+def _frequencies(library: DataFrame, text: str) -> Column:
+    """A constant array: how many library texts have a gram of each bucket."""
+    return bucket_counts(library.select(F.explode(t.grams(F.col(text))).alias("g")), "g")
+
+
 def _prefixes(rows: DataFrame, names: list[str], text: str, often: Column, threshold: float) -> DataFrame:
     """names, _n (number of grams), _at and _gram of each row's rarest grams: one of them at least is shared with
     any row that is more similar than the threshold."""
-    ranked = F.sort_array(F.transform("_g", lambda g: F.struct(F.get(often, _bucket(g)).alias("f"), g.alias("g"))))
+    ranked = F.sort_array(F.transform("_g", lambda g: F.struct(F.get(often, bucket(g)).alias("f"), g.alias("g"))))
     rows = rows.select(*names, t.grams(F.col(text)).alias("_g"))
     rows = rows.select(*names, F.size("_g").alias("_n"), ranked.alias("_r")).where("_n > 0")
     kept = F.expr(f"slice(_r, 1, CAST(_n - ceil({threshold} * _n - 1e-9) + 1 AS INT))")
