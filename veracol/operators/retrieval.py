@@ -112,8 +112,8 @@ def top_k_or_first(queries: DataFrame, posts: DataFrame, chunks: DataFrame, key:
 
 
 def inverted(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, word, positions."""
-    words = docs.select(key, F.posexplode(t.word_list(F.col(text))).alias("_p", "word"))
+    """key, word, positions. Texts are dealt by key as they are, so that their words needn't move."""
+    words = docs.select(key, text).repartition(key).select(key, F.posexplode(t.word_list(F.col(text))).alias("_p", "word"))
     return words.groupBy(key, "word").agg(F.sort_array(F.collect_list("_p")).alias("positions"))
 
 
