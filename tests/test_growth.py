@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veracol.functions import text as t
-from veracol.operators import report, retrieval
+from veracol.operators import boundaries, citations, lookup, report, retrieval
 
 
 def exchanges(df) -> int:
@@ -49,3 +49,18 @@ def test_reports_read_their_results_once(spark):
     # Each report asks for its results once.
     for made in (report.events(results), report.markdown(results, audits), report.as_json(results, audits)):
         assert made._jdf.queryExecution().optimizedPlan().toString().count("predictability_risk#") and exchanges(made) <= 2
+
+
+def test_titles_are_not_moved_to_be_looked_up(spark):
+    titles = spark.createDataFrame([(i, f"common words number{i % 7} tail{i}") for i in range(200)], "a long, title string")
+    requests = spark.createDataFrame([(1, "common words number3 tail10"), (2, "tail5 tail6 number9 common"), (3, "nothing")], "id long, q string")
+    found = lookup.best_titles(requests, titles, "id", "q", ["a"], "title")
+    assert {r.id: (r.a, r.similarity) for r in found.collect()} == {1: (10, 1.0), 2: (5, 0.5)}
+    assert exchanges(found) == 1
+
+
+def test_an_inverted_index_is_rebuilt_without_moving_words(spark):
+    docs = spark.createDataFrame([(1, " b a  b "), (2, ""), (3, "x")], "doc_id long, text string")
+    text = retrieval.rebuilt(retrieval.inverted(docs, "doc_id", "text"), "doc_id")
+    assert {tuple(r) for r in text.collect()} == {(1, "b a b"), (3, "x")}
+    assert exchanges(text) == 1
