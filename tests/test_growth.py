@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veracol.functions import text as t
-from veracol.operators import boundaries, citations, lookup, report, retrieval
+from veracol.operators import lookup, report, retrieval
+from veracol.plans import rule_queries
+from veracol.sources import reference_store
 
 
 def exchanges(df) -> int:
@@ -64,3 +66,20 @@ def test_an_inverted_index_is_rebuilt_without_moving_words(spark):
     text = retrieval.rebuilt(retrieval.inverted(docs, "doc_id", "text"), "doc_id")
     assert {tuple(r) for r in text.collect()} == {(1, "b a b"), (3, "x")}
     assert exchanges(text) == 1
+
+
+def test_a_version_moves_only_texts_that_may_be_replaced(spark, tmp_path):
+    store = reference_store.Store(spark, f"file://{tmp_path}/store", "key long, text string")
+    store.ingest(spark.createDataFrame([(1, "a"), (2, "b")], "key long, text string"), "one")
+    store.ingest(spark.createDataFrame([(2, "c"), (3, "d")], "key long, text string"), "two")
+    store.remove(spark.createDataFrame([(1,)], "key long"), "three")
+    assert "Join" not in store.read(1)._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, store.read(2).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, store.read().collect())) == [(2, "c"), (3, "d")]
+
+
+def test_orders_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rule_queries, "LINES_A_TASK", 10)
+    spark.range(95).selectExpr("id div 3 AS l_orderkey", "CAST(id % 3 AS INT) AS l_linenumber", "id AS l_partkey", "id AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = rule_queries.order_texts(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" in plan and ", 10), REPARTITION_BY_NUM" in plan and exchanges(rule_queries.order_texts(spark, str(tmp_path))) == 1

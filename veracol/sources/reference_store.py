@@ -88,17 +88,18 @@ class Store:
         """The rows of a version, the latest by default."""
         latest = max(self.versions(), default=0) if version is None else version
         parts = [r for r in self._version(latest) if r.kind != "ids"]
-        empty = self.spark.createDataFrame([], f"{self.schema}, removed boolean")
-        tables = {kind: empty.withColumn("seq", F.lit(0).cast("long")) for kind in ("base", "delta")}
-        for r in parts:
-            rows = self.spark.read.schema(f"{self.schema}, removed boolean").parquet(r.path).withColumn("seq", F.lit(r.seq).cast("long"))
-            tables[r.kind] = tables[r.kind].unionByName(rows)
-        # Only the deltas' keys are grouped; base rows meet them once.
-        last = tables["delta"].groupBy(F.col(self.key).alias("_key")).agg(F.max("seq").alias("_seq"))
-        same = F.col(self.key) == F.col("_key")
-        kept = tables["base"].join(last, same, "left_anti")
-        new = tables["delta"].join(last, same & (F.col("seq") == F.col("_seq"))).where("NOT removed")
-        return kept.select(*self._columns()).unionByName(new.select(*self._columns()))
+        rows = {r.seq: self.spark.read.schema(f"{self.schema}, removed boolean").parquet(r.path) for r in parts}
+        # A part's rows meet the keys of later parts alone: those of the last part needn't move, nor any others' texts than
+        # those that may be replaced.
+        out, later = self.spark.createDataFrame([], self.schema), None
+        for seq in sorted(rows, reverse=True):
+            here = rows[seq].where("NOT removed").select(*self._columns())
+            if later is not None:
+                here = here.join(later, F.col(self.key) == F.col("_key"), "left_anti")
+            out = out.unionByName(here)
+            keys = rows[seq].select(F.col(self.key).alias("_key"))
+            later = keys if later is None else later.unionByName(keys)
+        return out
 
     def compact(self) -> int:
         """Merge the parts of the latest version into one base; the new version. Batches that come meanwhile are kept."""
