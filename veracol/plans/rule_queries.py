@@ -106,9 +106,15 @@ _LINES = """concat('Parts [', l_linenumber, '], [', l_linenumber * 3, '-', l_lin
 _ENTRIES = "concat(l_suppkey % 30, '. Supplier ', l_suppkey)"
 
 
+#: Lines of a task, so that what one task holds doesn't grow with the table.
+LINES_A_TASK = 100_000
+
+
 def order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report for each order: its lines cite numbers and ranges, its list names suppliers. Every third has no list."""
-    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"{_LINES} AS said", f"{_ENTRIES} AS entry")
+    lines = table(spark, sf_dir, "lineitem")
+    lines = lines.repartition(lines.count() // LINES_A_TASK + 1, "l_orderkey")
+    lines = lines.selectExpr("l_orderkey", "l_linenumber", f"{_LINES} AS said", f"{_ENTRIES} AS entry")
     texts = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "said", "entry"))).alias("l"))
     text = F.concat(F.array_join(F.transform("l", lambda x: x.said), ".\n"), F.when(F.col("l_orderkey") % 3 != 0, F.concat(F.lit(".\nReferences\n"), F.array_join(F.transform("l", lambda x: x.entry), "\n"))).otherwise(""))
     return texts.select(F.col("l_orderkey").alias("doc_id"), text.alias("text"))
