@@ -22,7 +22,8 @@ KINDS = (
     ("LATEX", r"\$\$[\s\S]+?\$\$|\$[^\$\n]+?\$"),
     ("REF", r"\[\s*\d+(?:[\s,;\-–—\d]*)\s*\]"),
     ("FIG_TBL", r"(?i)\b(?:рис|рисунке|рисунках|табл|таблице|таблицах|уравнении|формуле|уравнениях|формулах)\.?\s*\d+(?:\.\d+\b)*+\b"),
-    ("SIMPLE_MATH", r"\b[a-zA-Zα-ωΑ-Ω]\b\s*=\s*[\w\d]+|(?:\b[a-zA-Zα-ωΑ-Ω]\b|\b[a-zA-Zα-ωΑ-Ω]_\w+)\s*(?:[=<>+\-*/\s]{1,3}\s*(?:\d+|\b[a-zA-Zα-ωΑ-Ω]\b|\b[a-zA-Zα-ωΑ-Ω]_\w+))++"),
+    # A letter and what may follow it are looked at first: boundaries cost more, and most places have none of these.
+    ("SIMPLE_MATH", r"(?=[a-zA-Zα-ωΑ-Ω][=<>+\-*/\s_])(?:\b[a-zA-Zα-ωΑ-Ω]\b\s*=\s*[\w\d]+|(?:\b[a-zA-Zα-ωΑ-Ω]\b|\b[a-zA-Zα-ωΑ-Ω]_\w+)\s*(?:[=<>+\-*/\s]{1,3}\s*(?:\d+|\b[a-zA-Zα-ωΑ-Ω]\b|\b[a-zA-Zα-ωΑ-Ω]_\w+))++)"),
 )
 _EVERY_SCRIPT = "(?U)"
 #: What a text must hold for a kind's pattern to match, as a plain test before the pattern; capitals are tested too.
