@@ -119,5 +119,7 @@ def inverted(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def rebuilt(index: DataFrame, key: str) -> DataFrame:
     """The text of each inverted index: words by position, gaps skipped, joined by a space."""
-    placed = index.select(key, F.explode("positions").alias("_p"), "word")
-    return placed.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "word"))), lambda x: x.word), " ").alias("text"))
+    # Words are gathered with all their positions, which are placed within the row.
+    words = index.groupBy(key).agg(F.collect_list(F.struct("word", "positions")).alias("_w"))
+    placed = F.flatten(F.transform("_w", lambda x: F.transform(x["positions"], lambda p: F.struct(p.alias("_p"), x["word"].alias("word")))))
+    return words.select(key, F.array_join(F.transform(F.sort_array(placed), lambda x: x["word"]), " ").alias("text"))
