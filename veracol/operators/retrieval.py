@@ -26,7 +26,7 @@ def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 #: The terms of lower-cased text, as `text.tokens` finds them.
-_TERM = re.compile("[a-z0-9а-яё]+")
+TERM = re.compile("[a-z0-9а-яё]+")
 
 
 def counted(chunks: DataFrame, *names: str) -> DataFrame:
@@ -34,7 +34,7 @@ def counted(chunks: DataFrame, *names: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [_TERM.findall(x or "") for x in batch.column("_low").to_pylist()]
+            lists = [TERM.findall(x or "") for x in batch.column("_low").to_pylist()]
             lengths = np.array([len(x) for x in lists], np.int32)
             tokens = pa.array(list(chain.from_iterable(lists)), pa.string()).dictionary_encode()
             kinds = max(len(tokens.dictionary), 1)
