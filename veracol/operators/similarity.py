@@ -1,7 +1,8 @@
 """Similarity of texts by character n-grams.
 
 A library of checked size becomes an inverted index that every task carries; texts stream past it and their shared
-grams are counted batch by batch, without a shuffle. A larger library is joined on the rarest grams of each text.
+grams are counted batch by batch, without a shuffle: grams that many library rows have by a product of matrices, the others
+row by row. A larger library is joined on the rarest grams of each text.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ THRESHOLD = 0.45
 BUCKETS = 1 << 14
 #: Rows and characters up to which a library is carried as an index.
 CARRIED_ROWS, CARRIED_CHARS = 4096, 4_000_000
-#: Counters (texts by library rows) that a task holds at once.
-COUNTERS = 1 << 22
+#: Counters (texts by library rows), and entries of a matrix of texts by frequent grams, that a task holds at once.
+COUNTERS, ENTRIES = 1 << 22, 1 << 21
+#: Grams are frequent that one in so many library rows has; so their matrix has at most as many entries for each posting.
+ONE_IN = 8
 
 
 def bucket(word: Column) -> Column:
@@ -78,12 +81,25 @@ def _prefix_join(left: DataFrame, right: DataFrame, left_text: str, right_text:
 
 def _gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Text number and 63-bit key of each distinct gram of each text."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
     of = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
     if len(codes) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     whole = of[2:] == of[:-2]
-    keys = (codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:])[whole]
+    # Characters by their place among those that occur, so that text and gram fit one number.
+    letters = np.flatnonzero(np.bincount(codes))
+    n = len(letters)
+    if len(texts) * n**3 < 1 << 63:
+        place = np.zeros(letters[-1] + 1, np.int64)
+        place[letters] = np.arange(n)
+        codes = place[codes]
+        pairs = np.sort((((of[:-2] * n + codes[:-2]) * n + codes[1:-1]) * n + codes[2:])[whole])
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
+        pairs, third = np.divmod(pairs, n)
+        pairs, second = np.divmod(pairs, n)
+        row, first = np.divmod(pairs, n)
+        return row, (letters[first] << 42 | letters[second] << 21 | letters[third]).astype(np.uint64)
+    keys = (codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]).astype(np.uint64)[whole]
     known, number = np.unique(keys, return_inverse=True)
     pairs = np.unique(of[:-2][whole] * max(1, len(known)) + number)
     return pairs // max(1, len(known)), known[pairs % max(1, len(known))]
@@ -98,6 +114,31 @@ class _Index:
         order = np.argsort(key, kind="stable")
         self.keys, first = np.unique(key[order], return_index=True)
         self.rows, self.first = row[order], np.r_[first, len(key)]
+        found = np.diff(self.first)
+        frequent = found * ONE_IN >= len(texts)
+        #: Row of the matrix for each frequent gram, else -1.
+        self.line = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        # Counts stay below 2 ** 24, so that single precision adds them exactly.
+        self.matrix = np.zeros((frequent.sum(), len(texts)), np.float32)
+        line = np.repeat(self.line, found)
+        self.matrix[line[line >= 0], self.rows[line >= 0]] = 1
+
+    def _shared(self, row: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Grams (row: text, at: gram) that each of n texts shares with each library row. Texts come in order."""
+        line = self.line[at]
+        often, lines = row[line >= 0], line[line >= 0]
+        out, step = np.empty((n, len(self.sizes)), np.float32), max(1, ENTRIES // max(1, len(self.matrix)))
+        for a in range(0, n, step):
+            z = min(a + step, n)
+            part = slice(*np.searchsorted(often, [a, z]))
+            has = np.zeros((z - a, len(self.matrix)), np.float32)
+            has[often[part] - a, lines[part]] = 1
+            np.matmul(has, self.matrix, out=out[a:z])
+        row, at = row[line < 0], at[line < 0]
+        found = self.first[at + 1] - self.first[at]
+        nth = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found)
+        np.add.at(out, (np.repeat(row, found), self.rows[np.repeat(self.first[at], found) + nth]), np.float32(1))
+        return out
 
     def similar(self, texts: list[str], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Text, library row and similarity of each pair above the threshold."""
@@ -108,14 +149,13 @@ class _Index:
             size = np.bincount(row, minlength=len(part))
             at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
             hit = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
-            row, at = row[hit], at[hit]
-            found = self.first[at + 1] - self.first[at]
-            nth = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found)
-            pairs = np.repeat(row * len(self.sizes), found) + self.rows[np.repeat(self.first[at], found) + nth]
-            shared = np.bincount(pairs, minlength=len(part) * len(self.sizes)).reshape(len(part), len(self.sizes))
-            ratio = shared / np.maximum(size[:, None] + self.sizes[None, :] - shared, 1)
+            shared = self._shared(row[hit], at[hit], len(part))
+            # A similarity is at most the share of the text's own grams.
+            able = np.flatnonzero((size > 0) & (shared.max(axis=1, initial=0) >= threshold * size - 1e-6))
+            shared = shared[able].astype(np.int64)
+            ratio = shared / np.maximum(size[able, None] + self.sizes[None, :] - shared, 1)
             text, other = np.nonzero(ratio > threshold)
-            yield text + begin, other, ratio[text, other]
+            yield able[text] + begin, other, ratio[text, other]
 
 
 def _carried_join(left: DataFrame, rows: list, library: DataFrame, left_text: str, threshold: float) -> DataFrame:
