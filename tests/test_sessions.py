@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from datetime import UTC, datetime
+from types import SimpleNamespace
+
+import pandas as pd
 
 from veracol.streaming import sessions
 
@@ -82,3 +86,61 @@ def test_against_a_dictionary_whatever_the_batches(spark, tmp_path):
         folder = tmp_path / str(i)
         folder.mkdir()
         assert answers(spark, folder, [rows[a:z] for a, z in zip([0, *cuts], cuts, strict=False)])[-1] == want
+
+
+class Handle:
+    """State of one session in dictionaries, with the calls that each would be a trip to the executor."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = None, {}, set(), Counter()
+        self.session = SimpleNamespace(**{n: self.counted(n, getattr(self, f"_{n}")) for n in ("get", "update", "clear")})
+        self.lookups = SimpleNamespace(
+            getValue=self.counted("getValue", self.map.get), updateValue=self.counted("updateValue", self.map.__setitem__), removeKey=self.counted("removeKey", self.map.pop),
+            clear=self.counted("clearMap", self.map.clear), iterator=self.counted("iterator", lambda: iter(list(self.map.items()))),
+        )
+        self.registerTimer, self.deleteTimer = self.counted("registerTimer", self.timers.add), self.counted("deleteTimer", self.timers.remove)
+        self.getValueState, self.getMapState = (lambda *_: self.session), (lambda *_: self.lookups)
+
+    def counted(self, name, call):
+        return lambda *a: (self.calls.update([name]), call(*a))[1]
+
+    def _get(self):
+        return self.value
+
+    def _update(self, value):
+        self.value = value
+
+    def _clear(self):
+        self.value = None
+
+
+def test_a_session_takes_few_trips_and_one_timer():
+    handle, processor = Handle(), sessions._Sessions("user", 2 * HOUR, 5 * HOUR, HOUR)
+    processor.init(handle)
+
+    def batch(*rows):
+        handle.calls.clear()
+        frames = [pd.DataFrame([("a", *r)], columns=["user", "at", "seq", "op", "name", "value"]) for r in rows]
+        return [x for out in processor.handleInputRows(("a",), iter(frames), None) for x in out["answer"]]
+
+    def expired(hours):
+        handle.calls.clear()
+        now = at(hours) // 1000
+        for due in sorted(x for x in handle.timers if x <= now):
+            list(processor.handleExpiredTimer(("a",), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), SimpleNamespace(getExpiryTimeInMs=lambda due=due: due)))
+            handle.timers.discard(due)
+
+    assert batch((at(0), 1, "put", None, "v"), (at(0), 2, "lookup", "k", "t"), (at(0), 3, "lookup", "m", None), (at(0.1), 4, "lookup", "k", "u")) == [None, "t", None, "t"]
+    assert handle.calls == {"get": 1, "updateValue": 2, "update": 1, "registerTimer": 1} and handle.timers == {at(5) // 1000 + 1}
+    # What changes nothing is read, not written.
+    assert batch((at(0.2), 5, "lookup", "k", "w")) == ["t"] and handle.calls == {"get": 1, "getValue": 1}
+    # What came since sets the timer anew; what is out goes.
+    assert batch((at(4.5), 6, "put", None, "y"), (at(4.5), 7, "lookup", "n", None)) == [None, None] and len(handle.timers) == 1
+    expired(5.2)
+    assert set(handle.map) == {("n",)} and handle.value[:2] == ("y", True) and handle.timers == {at(6.5) // 1000 + 1}
+    expired(7)
+    assert handle.map == {} and handle.value is None and not handle.timers
+    assert handle.calls == {"get": 1, "clearMap": 1, "clear": 1}
+    # What is taken leaves nothing.
+    assert batch((at(7), 8, "put", None, "x")) == [None] and batch((at(7), 9, "take", None, None)) == ["x"]
+    assert handle.value is None and not handle.timers

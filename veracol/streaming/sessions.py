@@ -5,6 +5,10 @@ it). Lookups are a map beside it: an outcome, found or not, answers the same que
 that a failed search isn't repeated at once. Times are event times. What is out of date is decided by the times in the
 state, so that answers don't depend on where batches end; timers only remove what no row can see any more.
 
+Each call of the state is a trip to the executor and back, so a session has one timer, for when the last of what it then has
+is out (what came since sets it anew); a session that is new, or has no lookup that is still good, isn't asked for lookups;
+and only what changed is written.
+
 State lives in RocksDB and is restored from the checkpoint. Rows of one key in one batch are sorted in memory, so a
 source should bound its batches; rows later than the watermark are dropped by Spark.
 
@@ -34,53 +38,71 @@ class _Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # The value, when it was last touched, and the timer that would remove it.
-        self.session = handle.getValueState("session", "value string, touched long, timer long")
+        # The value, if it is alive, and when it was last touched; until when the last of the lookups is good; the timer.
+        self.session = handle.getValueState("session", "value string, alive boolean, touched long, latest long, timer long")
         self.lookups = handle.getMapState("lookups", "name string", "title string, until long")
 
-    def _timer(self, micros: int) -> int:
-        due = micros // 1000 + 1
-        self.handle.registerTimer(due)
-        return due
-
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = self.session.get() if self.session.exists() else None
-        value, touched, timer = held if held is not None else (None, None, None)
-        alive, known, out = held is not None, {}, []
-        for r in pd.concat(rows).sort_values(["at", "seq"], kind="stable").itertuples():
+        held = self.session.get()
+        value, alive, touched, latest, timer = held or (None, False, None, None, None)
+        good, known, made, out = latest, {}, [], []
+        # Lists, as frames of a few rows cost more than their rows.
+        requests = [r for frame in rows for r in zip(*(frame[c].tolist() for c in ("at", "seq", "op", "name", "value")), strict=True)]
+        for at, seq, op, name, given in sorted(requests, key=lambda r: (r[0], r[1] != r[1], r[1])):
             answer, asked = None, False
-            if alive and r.at > touched + self.idle:
+            given = given if isinstance(given, str) else None
+            if alive and at > touched + self.idle:
                 alive = False
-            if r.op == "put":
-                value, touched, alive = r.value, r.at, True
-            elif r.op in ("get", "take") and alive:
-                answer, touched, alive = value, r.at, r.op == "get"
-            elif r.op == "lookup":
-                name = (r.name if isinstance(r.name, str) else "",)
-                entry = known.get(name) or self.lookups.getValue(name)
-                if entry is None or r.at > entry[1]:
-                    title = r.value if isinstance(r.value, str) else None
-                    entry, asked = (title, int(r.at) + (self.failed_for if title is None else self.found_for)), True
-                known[name], answer = entry, entry[0]
-            out.append((key[0], r.seq, r.op, answer, asked))
-        for name, entry in known.items():
-            self.lookups.updateValue(name, entry)
-            self._timer(entry[1])
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        if alive:
-            value = value if isinstance(value, str) else None
-            self.session.update((value, int(touched), self._timer(int(touched) + self.idle)))
-        elif held is not None:
-            self.session.clear()
-        yield pd.DataFrame(out, columns=[self.key, "seq", "op", "answer", "asked"])
+            if op == "put":
+                value, touched, alive = given, at, True
+            elif op in ("get", "take") and alive:
+                answer, touched, alive = value, at, op == "get"
+            elif op == "lookup":
+                name = name if isinstance(name, str) else ""
+                if name not in known:
+                    known[name] = self.lookups.getValue((name,)) if good is not None and at <= good else None
+                if known[name] is None or at > known[name][1]:
+                    known[name], asked = (given, int(at) + (self.failed_for if given is None else self.found_for)), True
+                    made.append(name)
+                    latest = max(known[name][1], latest or 0)
+                answer = known[name][0]
+            out.append((seq, op, answer, asked))
+        for name in dict.fromkeys(made):
+            self.lookups.updateValue((name,), known[name])
+        self._keep(held, (value, True, int(touched), latest) if alive else (None, False, None, latest), timer)
+        yield pd.DataFrame({self.key: [key[0]] * len(out)} | dict(zip(("seq", "op", "answer", "asked"), map(list, zip(*out, strict=True)), strict=True)))
+
+    def _keep(self, held: tuple | None, state: tuple, timer: int | None) -> None:
+        """Keep a session that has a value or lookups, under its timer or one for when the last of them is out."""
+        _, alive, touched, latest = state
+        if not alive and latest is None:
+            if held is not None:
+                self.session.clear()
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            return
+        if timer is None:
+            timer = max(latest or 0, touched + self.idle if alive else 0) // 1000 + 1
+            self.handle.registerTimer(timer)
+        if held is None or tuple(held) != (*state, timer):
+            self.session.update((*state, timer))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        if self.session.exists() and self.session.get()[1] + self.idle < now:
-            self.session.clear()
-        for name in [n for n, e in self.lookups.iterator() if e[1] < now]:
-            self.lookups.removeKey(name)
+        held = self.session.get()
+        if held is None or held[4] != expiredTimerInfo.getExpiryTimeInMs():
+            return iter(())
+        # Rows up to the watermark are late, so no row can see what was out before.
+        now, (value, alive, touched, latest, _) = timerValues.getCurrentWatermarkInMs() * 1000, held
+        if not alive or touched + self.idle < now:
+            value, alive, touched = None, False, None
+        if latest is not None and latest < now:
+            self.lookups.clear()
+            latest = None
+        elif latest is not None:
+            for name in [n for n, e in self.lookups.iterator() if e[1] < now]:
+                self.lookups.removeKey(name)
+        # Spark removes the timer that fired.
+        self._keep(held, (value, alive, touched, latest), None)
         return iter(())
 
     def close(self) -> None:
