@@ -57,3 +57,24 @@ def test_key_ranges_keep_what_keys_shorten(spark):
     row = spark.createDataFrame([("[Smith 2020; b21], [7-5], [1-3000000000; 4]",)], "s string").select(citations.key_ranges("s").alias("k"), citations.keys("s").alias("n")).first()
     assert [(x.key, x.low, x.high) for x in row.k] == [("smith2020", None, None), ("b21", None, None), (None, 1, 3_000_000_000), (None, 4, 4)]
     assert row.n == ["smith2020", "b21", "1", "3000000000", "4"]
+
+
+def test_integrity_reads_each_text_once_and_sorts_once(spark):
+    docs = spark.range(3).selectExpr("id AS doc_id", "concat('Cites [', id, '].\\nReferences\\n1. A') AS text")
+    plan = citations.integrity_ranges(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(citations.BRACKET) == plan.count(citations.LISTED) == plan.count("lower(") == 1
+    assert plan.count("Sort [") == 1 and plan.count("Exchange") <= 1
+
+
+def test_odd_parts_and_lists(spark):
+    nines = "9" * 38
+    docs = spark.createDataFrame([
+        (1, "[1 2, 3 – 5; 7--9, 1-2-3,, 007 , 12-] [9-8] [4\t—\n6]\nReferences\n5. A\n05. B\n[5] C\n20. D\n020. E"),
+        (2, f"[{nines}] [3]\nReferences\n[{nines}] A"), (3, f"[1]\nReferences\n{'8' * 40}. A"), (4, "[1]\nReferences\nno numbers"), (5, "[5] [1-4] [5-9] [11]\nLITERATURE, References\n10. A"),
+    ], "doc_id long, text string")
+    rows = sorted((r.doc_id, int(r.low), int(r.high), r.issue_type[9:], r.severity, int(r["index"])) for r in citations.integrity_ranges(docs).collect())
+    assert rows == [
+        (1, 3, 4, "missing_bibliography", "high", -1), (1, 6, 7, "missing_bibliography", "high", -3), (1, 20, 20, "unused_bibliography", "low", -5),
+        (2, 3, 3, "missing_bibliography", "high", -1),
+        (5, 1, 9, "missing_bibliography", "high", -1), (5, 10, 10, "unused_bibliography", "low", -11), (5, 11, 11, "missing_bibliography", "high", -10),
+    ]

@@ -121,12 +121,9 @@ def light_stem(c: Column, suffixes: Iterable[str]) -> Column:
 
 def header_place(c: Column, headers: Iterable[str]) -> Column:
     """Place (from 0) of the last occurrence of the first listed header that the text has; -1 without one."""
-    low = F.lower(c)
-    found = []
-    for h in headers:
-        at = F.instr(F.reverse(low), h[::-1])
-        found.append(F.when(at > 0, F.length(low) - at - len(h) + 1))
-    return F.coalesce(*found, F.lit(-1))
+    # Bound as a variable, as the lower-cased text would else be made for each header.
+    place = lambda low: F.coalesce(*[F.when(low.contains(h), F.length(low) - F.length(F.substring_index(low, h, -1)) - len(h)) for h in headers], F.lit(-1))
+    return F.transform(F.array(F.lower(c)), place)[0]
 
 
 def title_words(c: Column, stop_words: Iterable[str]) -> Column:

@@ -67,13 +67,25 @@ def _cut(docs: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, body.alias("_body"), F.expr("CASE WHEN _at >= 0 THEN substring(_t, _at + 1) END").alias("_tail"))
 
 
+def _parts(body: Column) -> Column:
+    """The parts of a text's citation brackets, each a number, or two with a dash, or nothing that counts."""
+    held = F.array_join(F.regexp_extract_all(body, F.lit(BRACKET), F.lit(1)), ";")
+    return F.split(F.translate(held, ",–—", ";--"), ";")
+
+
+def _low_high(part: str) -> tuple[Column, Column]:
+    """The ends of a part; null for what is neither a number nor a range."""
+    alone = f"substring_index({part}, '-', 2) = {part}"
+    low, high = (F.expr(f"CASE WHEN {alone} THEN try_cast(substring_index({part}, '-', {i}) AS {NUMBER}) END") for i in (1, -1))
+    return low, high
+
+
 def cited_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, low, high: the intervals of numbers cited before the bibliography, merged, so that none touches another."""
-    part = F.regexp_replace("_p", r"^\s+|\s+$", "")
-    rows = _cut(docs, key, text).select(key, F.explode(F.regexp_extract_all("_body", F.lit(BRACKET), 1)).alias("_b"))
-    rows = rows.select(key, F.explode(F.split("_b", "[,;]")).alias("_p")).select(key, part.alias("_p"))
-    alone = f"CASE WHEN _p RLIKE r'^\\d+$' THEN filter(array(named_struct('a', try_cast(_p AS {NUMBER}), 'b', try_cast(_p AS {NUMBER}))), x -> x.a IS NOT NULL) ELSE array() END"
-    return merged(rows.select(key, F.explode(F.expr(_ends("_p", alone))).alias("_r")).select(key, F.col("_r.a").alias("low"), F.col("_r.b").alias("high")), key)
+    # Outer, as Spark would else ask for the array's size first and read the text twice for it.
+    parts = _cut(docs, key, text).select(key, F.explode_outer(_parts(F.col("_body"))).alias("_p"))
+    low, high = _low_high("_p")
+    return merged(parts.select(key, low.alias("low"), high.alias("high")).where("low <= high"), key)
 
 
 def merged(ranges: DataFrame, key: str) -> DataFrame:
@@ -133,24 +145,36 @@ def bibliography(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def integrity_ranges(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Warnings of documents that have a bibliography, as intervals: numbers cited but not listed, and listed but not cited.
 
-    `index` is that of an interval's first number: warnings count down from -1 by type and number. Intervals and listed
-    numbers of a document are swept in one order, so that a range costs one row, however many numbers it spans.
+    `index` is that of an interval's first number: warnings count down from -1 by type and number. Each text is read once;
+    its ranges and listed numbers are swept in one order, so that a range costs one row, however many numbers it spans.
     """
-    ranges, listed = cited_ranges(docs, key, text), listed_numbers(docs, key, text)
-    none = F.lit(None).cast(NUMBER)
-    both = ranges.select(key, F.col("low").alias("_at"), F.lit(0).alias("_kind"), "low", "high").unionByName(listed.select(key, F.col("number").alias("_at"), F.lit(1).alias("_kind"), none.alias("low"), none.alias("high")))
-    doc = Window.partitionBy(key)
-    sweep = doc.orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = both.withColumns({"low": F.last("low", ignorenulls=True).over(sweep), "high": F.last("high", ignorenulls=True).over(sweep), "_lists": F.max("_kind").over(doc)}).where("_lists = 1")
-    rows = rows.withColumn("_inside", F.coalesce(F.col("_at") <= F.col("high"), F.lit(False)))
-    unused = rows.where("_kind = 1 AND NOT _inside").select(key, F.col("_at").alias("low"), F.col("_at").alias("high"), F.lit("citation_unused_bibliography").alias("issue_type"), F.lit("low").alias("severity"))
-    # Within an interval each row opens a gap that ends before the next listed number.
-    within = rows.where("_inside").withColumn("_next", F.lead("_at").over(Window.partitionBy(key, "low").orderBy("_at", "_kind")))
-    gap = within.select(key, F.when(F.col("_kind") == 0, F.col("low")).otherwise(F.col("_at") + 1).cast(NUMBER).alias("_from"), F.coalesce(F.col("_next") - 1, F.col("high")).cast(NUMBER).alias("_to")).where("_from <= _to")
-    missing = gap.select(key, F.col("_from").alias("low"), F.col("_to").alias("high"), F.lit("citation_missing_bibliography").alias("issue_type"), F.lit("high").alias("severity"))
-    order = doc.orderBy("issue_type", "low").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("high") - F.col("low") + 1).over(order), F.lit(0))
-    return missing.unionByName(unused).withColumn("index", (-before - 1).cast(NUMBER))
+    listed = F.regexp_extract_all("_tail", F.lit(LISTED), F.lit(0)).alias("_listed")
+    texts = _cut(docs, key, text).select(key, listed, _parts(F.expr("CASE WHEN _tail IS NOT NULL THEN _body END")).alias("_parts"))
+    # Asked within the array: a condition on the texts would be moved to where they come from, and read them once more.
+    texts = texts.select(key, F.size("_listed").alias("_n"), F.when(F.size("_listed") > 0, F.concat("_listed", "_parts")).alias("_all"))
+    rows = texts.select(key, "_n", F.posexplode_outer("_all").alias("_i", "_p")).where("_i IS NOT NULL")
+    low, high = _low_high("_p")
+    kind, number = F.expr("CAST(_i < _n AS INT)"), F.regexp_extract("_p", r"\d+", 0).try_cast(NUMBER)
+    rows = rows.select(key, kind.alias("_kind"), F.when(F.expr("_i < _n"), number).otherwise(low).alias("_at"), F.when(F.expr("_i >= _n"), high).alias("_high"))
+    rows = rows.where("_at IS NOT NULL AND (_kind = 1 OR _at <= _high)")
+    # All windows have one order, so that rows are sorted once. At a number, ranges come before what is listed.
+    sweep = Window.partitionBy(key).orderBy("_at", "_kind")
+    whole = sweep.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = sweep.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_reach": F.max("_high").over(before), "_last": F.max("_high").over(whole), "_lists": F.max("_kind").over(whole)}).where("_lists = 1")
+    # A range that touches those before it opens nothing; they reach as far as the next row is told, or to the last end.
+    rows = rows.where("_kind = 1 OR NOT coalesce(_reach >= _at - 1, FALSE)")
+    rows = rows.withColumns({"_next": F.lead("_at").over(sweep), "_to": F.coalesce(F.lead("_reach").over(sweep), F.when(F.lead("_at").over(sweep).isNull(), F.col("_last")))})
+    # Up to the next row, what ranges reach is missing, but for the row's own number if that is listed.
+    rows = rows.withColumns({"_after": F.expr(f"CAST(CASE WHEN _kind = 0 THEN _at - 1 ELSE _at END AS {NUMBER})"), "_to": F.expr(f"CAST(CASE WHEN _next <= _to THEN _next - 1 ELSE _to END AS {NUMBER})")})
+    unused = "_kind = 1 AND NOT coalesce(_next = _at, FALSE) AND NOT coalesce(_reach >= _at, FALSE)"
+    rows = rows.withColumn("_missing", F.expr(f"CASE WHEN _after < _to THEN TRUE WHEN {unused} THEN FALSE END")).where("_missing IS NOT NULL")
+    size = F.expr("CASE WHEN _missing THEN _to - _after END")
+    rows = rows.withColumns({"_before": F.sum(size).over(before), "_all": F.sum(size).over(whole), "_unused": F.count_if(~F.col("_missing")).over(before)})
+    low, high = F.expr(f"CAST(CASE WHEN _missing THEN _after + 1 ELSE _at END AS {NUMBER})"), F.expr("CASE WHEN _missing THEN _to ELSE _at END")
+    kind = F.when(F.col("_missing"), "citation_missing_bibliography").otherwise("citation_unused_bibliography")
+    index = F.expr(f"CAST(-1 - CASE WHEN _missing THEN coalesce(_before, 0) ELSE coalesce(_all, 0) + _unused END AS {NUMBER})")
+    return rows.select(key, low.alias("low"), high.alias("high"), kind.alias("issue_type"), F.when(F.col("_missing"), "high").otherwise("low").alias("severity"), index.alias("index"))
 
 
 def integrity(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
